@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,25 +16,22 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
-def language(text: Column, profiles: dict[str, list[str]] | None = None) -> Column:
-    """Language whose function words cover the text best.
+def language(found: Column, profiles: dict[str, list[str]] | None = None) -> Column:
+    """Language whose function words cover the ``found`` words of a text best.
 
     The score is how many different words of the profile occur; the earlier
     profile wins a tie and a text without any such word has no language.
     """
     profiles = profiles or FUNCTION_WORDS
-    found = words(text)
-    # max over (score, -position, code) picks the best score, then the earliest profile
-    scored = [
-        F.struct(
-            F.size(F.array_intersect(found, F.lit(list(profile)))).alias("score"),
-            F.lit(-position).alias("preference"),
-            F.lit(code).alias("code"),
+    scored = []
+    for position, (code, profile) in enumerate(profiles.items()):
+        score = F.size(F.array_intersect(found, F.lit(list(profile))))
+        entry = F.struct(
+            score.alias("score"), F.lit(-position).alias("preference"), F.lit(code).alias("code")
         )
-        for position, (code, profile) in enumerate(profiles.items())
-    ]
-    best = F.array_max(F.array(*scored))
-    return F.when(best["score"] > 0, best["code"])
+        scored.append(F.when(score > 0, entry))
+    # the largest entry has the best score, then the earliest profile
+    return F.array_max(F.array(*scored))["code"]
 
 
 def singular(form: Column) -> Column:
@@ -47,5 +45,5 @@ def singular(form: Column) -> Column:
     )
 
 
-def ends_with_any(word: Column, suffixes: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.endswith(word, F.lit(s)) for s in suffixes])
+def ends_with_any(word: Column, suffixes: Sequence[str]) -> Column:
+    return word.rlike(f"({'|'.join(map(re.escape, suffixes))})$")

@@ -15,8 +15,18 @@ from scimetrics.operators.joins import join_na, without_words
 from scimetrics.operators.ranking import top_k_ties
 
 
+def _spoken(abstracts: DataFrame) -> DataFrame:
+    """Abstracts with their words and language.
+
+    The language comes out of a one-element explode: a later filter on it then
+    stays above this step and the text is split into words once per abstract.
+    """
+    split = abstracts.withColumn("_words", words(F.col("paper_abstract")))
+    return split.select("*", F.explode(F.array(language(F.col("_words")))).alias("lang"))
+
+
 def detect_language(abstracts: DataFrame) -> DataFrame:
-    return abstracts.withColumn("lang", language(F.col("paper_abstract")))
+    return _spoken(abstracts).drop("_words")
 
 
 def abstract_nouns(
@@ -32,14 +42,15 @@ def abstract_nouns(
     per paper before the lexicon is joined, so a frequent word meets it once
     per paper.
     """
-    english = detect_language(abstracts).where(F.col("lang") == "en")
+    english = _spoken(abstracts).where(F.col("lang") == "en")
     forms = (
-        english.select("paper_id", F.explode(words(F.col("paper_abstract"))).alias("form"))
+        english.select("paper_id", F.explode_outer("_words").alias("form"))
+        .where(F.col("form").isNotNull())
         .groupBy("paper_id", "form")
         .agg(F.count("*").alias("n"))
     )
     by_rule = singular(F.col("form"))
-    rule_holds = (F.length("form") >= min_length) & ends_with_any(by_rule, list(suffixes))
+    rule_holds = (F.length("form") >= min_length) & ends_with_any(by_rule, suffixes)
     if lexicon is None:
         tagged = forms.where(rule_holds).withColumn("lemma", by_rule)
     else:

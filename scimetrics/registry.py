@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scimetrics.functions import periods
+from scimetrics.operators.graph import centrality, paths, structure
+from scimetrics.operators.graph.network import VERTEX, Network, build_network
 from scimetrics.operators.reshape import complete, repeat_rows
 from scimetrics.plans import (
     base_tables,
     collaboration,
     cooccurrence,
     disciplines,
+    network,
     nouns,
     papers,
     people,
@@ -80,6 +83,27 @@ def _complete_grid(d: Inputs) -> DataFrame:
     return complete(wide, ["paper_id"], kinds, "field_type", "n")
 
 
+def _edges(d: Inputs) -> DataFrame:
+    pairs = collaboration.collab_authors(d.papers_auth_aff, d.papers)
+    return network.network_edges(_papers_summary(d), d.papers_fields, pairs)
+
+
+def _graph(metric: Callable[[Network], DataFrame], *columns: str) -> Callable[[Inputs], DataFrame]:
+    def dataset(d: Inputs) -> DataFrame:
+        net = build_network(_edges(d))
+        return rounded(net.named(metric(net)), *columns)
+
+    return dataset
+
+
+def _ego(net: Network) -> DataFrame:
+    return paths.reach(net, max_hops=2).select(
+        *VERTEX,
+        F.col("within_1").alias("neighborhood_1"),
+        F.col("within_2").alias("neighborhood_2"),
+    )
+
+
 DATASETS: dict[str, Callable[[Inputs], DataFrame]] = {
     "authors": lambda d: rounded(d.authors, "average_log_c10_auth"),
     "affiliations_regions": lambda d: rounded(d.affiliations, "average_log_c10_aff"),
@@ -121,6 +145,28 @@ DATASETS: dict[str, Callable[[Inputs], DataFrame]] = {
     "cooccurrence_nodes": lambda d: rounded(
         cooccurrence.cooccurrence_nodes(_top_cooccurrence(d)), "value_log"
     ),
+    "net_edges": lambda d: rounded(_edges(d), "fractional_weight"),
+    "net_strength": lambda d: rounded(
+        network.strength(_edges(d)).select("field", "quin", "id", "weighted_degree", "degree"),
+        "weighted_degree",
+    ),
+    "net_degree": lambda d: network.strength(_edges(d)).select(
+        "field", "quin", "id", "degree2", "in_degree", "out_degree"
+    ),
+    "net_ego": _graph(_ego),
+    "net_clustering": _graph(structure.clustering, "clustering"),
+    "net_pagerank": _graph(centrality.pagerank, "pagerank"),
+    "net_eigen": _graph(centrality.eigenvector, "eigen"),
+    "net_hits": _graph(centrality.hub_scores, "hub", "authority"),
+    "net_community": _graph(structure.communities),
+    "net_closeness": _graph(
+        lambda net: paths.closeness_of(paths.reach(net)), "closeness", "closeness_norm"
+    ),
+    "net_eccentricity": _graph(
+        lambda net: paths.reach(net).select(*VERTEX, "eccentricity")
+    ),
+    "net_betweenness": _graph(paths.betweenness, "betweenness", "betweenness_norm"),
+    "net_summary": _graph(structure.summary, "density", "mean_degree"),
     "quin_bins": _quin_bins,
     "uncount": lambda d: repeat_rows(d.nouns, "n"),
     "complete_grid": _complete_grid,

@@ -14,6 +14,22 @@ from pyspark.sql import functions as F
 from scimetrics.plans import base_tables, disciplines, nouns
 from scimetrics.sources.readers import as_raw
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double",
+    "orders": (
+        "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz, "
+        "o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+        "l_extendedprice double, l_shipdate timestamp_ntz"
+    ),
+    "documents": "doc_id long, text string",
+}
+
 NOUN_SUFFIXES = ("ion", "er", "ing", "nd", "th")
 STEM, STEM_LABEL = "thin", "thin"
 
@@ -25,7 +41,7 @@ class Inputs:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def raw(self) -> DataFrame:
@@ -58,7 +74,7 @@ class Inputs:
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(
-                self.table("documents").select("doc_id", "text"),
+                self.table("documents"),
                 F.col("doc_id") == F.col("o_orderkey"),
                 "left",
             )
