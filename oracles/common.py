@@ -200,6 +200,7 @@ def statement(select: str, recursive: str = "") -> str:
                 needed.append(name)
 
     visit(recursive + " " + select)
-    parts = [f"{name} AS ({CTES[name]})" for name in needed] + ([recursive] if recursive else [])
+    kept = "MATERIALIZED " if recursive else ""
+    parts = [f"{name} AS {kept}({CTES[name]})" for name in needed] + ([recursive] if recursive else [])
     keyword = "WITH RECURSIVE" if recursive else "WITH"
     return f"{keyword} {', '.join(parts)}\n{select}" if parts else select

@@ -12,21 +12,55 @@ from scimetrics.operators.graph.network import VERTEX, Network
 from scimetrics.session import materialize
 
 Step = Callable[[DataFrame, DataFrame], DataFrame]
+HUB_ROWS = 1_000_000
+
+
+def _split_hubs(network: Network, flow: DataFrame) -> DataFrame:
+    """Neighbour table cut so that no join key has more than about ``HUB_ROWS`` rows.
+
+    ``part`` spreads the rows of a vertex over its parts, ``parts`` is the number
+    of parts of the receiving vertex; both are absent when nobody needs them.
+    """
+    parts = F.ceil(F.col("neighbours") / HUB_ROWS).cast("int")
+    if network.vertices.where(parts > 1).isEmpty():
+        return flow
+    sizes = network.vertices.select(*VERTEX, F.greatest(parts, F.lit(1)).alias("parts"))
+    sending = sizes.select("cell", F.col("id").alias("src"), F.col("parts").alias("_parts"))
+    receiving = sizes.withColumnRenamed("id", "dst")
+    part = F.pmod(F.xxhash64("dst"), F.col("_parts")).cast("int")
+    return (
+        flow.join(sending, ["cell", "src"])
+        .join(receiving, ["cell", "dst"])
+        .withColumn("part", part)
+        .drop("_parts")
+    )
 
 
 def _pull(state: DataFrame, flow: DataFrame, message: Column, *extra: Column) -> DataFrame:
-    """Sum of ``message`` over the neighbours of every vertex; one shuffle, combined early."""
-    joined = flow.join(state.withColumnRenamed("id", "src"), ["cell", "src"])
+    """Sum of ``message`` over the neighbours of every vertex.
+
+    The neighbour table stays where it is and streams past the values of its
+    partition, so a round shuffles nothing but the partial sums.
+    """
+    keys = ["cell", "src"]
+    state = state.withColumnRenamed("id", "src")
+    if "part" in flow.columns:
+        keys.append("part")
+        extra += (F.max(flow["parts"]).alias("parts"),)
+        copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        state = state.withColumn("part", copies).drop("parts")
+    joined = flow.join(state.hint("shuffle_hash"), keys)
     return joined.groupBy("cell", F.col("dst").alias("id")).agg(F.sum(message).alias("x"), *extra)
 
 
 def _scaled(state: DataFrame) -> DataFrame:
     """Largest value of each cell set to 1."""
     peaks = state.groupBy("cell").agg(F.max("x").alias("peak"))
-    return state.join(peaks, "cell").select(*VERTEX, (F.col("x") / F.col("peak")).alias("x"))
+    return state.join(peaks, "cell").withColumn("x", F.col("x") / F.col("peak")).drop("peak")
 
 
 def _iterate(
+    network: Network,
     state: DataFrame,
     flow: DataFrame,
     step: Step,
@@ -41,7 +75,13 @@ def _iterate(
     both the plan and the recomputation after a lost executor. The neighbour
     table is kept partitioned by the key that every round joins on.
     """
-    flow = flow.repartition("cell", "src").persist(StorageLevel.MEMORY_AND_DISK)
+    flow = _split_hubs(network, flow)
+    placing = ["cell", "src"]
+    if "part" in flow.columns:
+        placing.append("part")
+        parts = flow.select("cell", F.col("dst").alias("id"), "parts").distinct()
+        state = state.join(parts, VERTEX)
+    flow = flow.repartition(*placing).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(0, max_rounds, rounds_per_job):
             advanced = state
@@ -59,7 +99,7 @@ def _iterate(
                 break
     finally:
         flow.unpersist()
-    return state
+    return state.select(*VERTEX, "x")
 
 
 def pagerank(
@@ -80,12 +120,11 @@ def pagerank(
 
     def step(state: DataFrame, flow: DataFrame) -> DataFrame:
         pulled = _pull(state, flow, F.col("x") * F.col("share"), F.max("base").alias("base"))
-        return pulled.select(*VERTEX, (F.col("base") + damping * F.col("x")).alias("x"))
+        return pulled.withColumn("x", F.col("base") + damping * F.col("x")).drop("base")
 
     start = vertices.select(*VERTEX, (1 / F.col("n")).alias("x"))
-    return _iterate(start, shares, step, lambda s: s, max_rounds, tolerance).withColumnRenamed(
-        "x", "pagerank"
-    )
+    ranks = _iterate(network, start, shares, step, lambda s: s, max_rounds, tolerance)
+    return ranks.withColumnRenamed("x", "pagerank")
 
 
 def eigenvector(network: Network, max_rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
@@ -103,9 +142,8 @@ def eigenvector(network: Network, max_rounds: int = 100, tolerance: float = 1e-9
         return _pull(state, flow, F.col("x") * F.col("m"))
 
     start = network.vertices.select(*VERTEX, F.lit(1.0).alias("x"))
-    return _iterate(start, shifted, step, _scaled, max_rounds, tolerance).withColumnRenamed(
-        "x", "eigen"
-    )
+    scores = _iterate(network, start, shifted, step, _scaled, max_rounds, tolerance)
+    return scores.withColumnRenamed("x", "eigen")
 
 
 def hub_scores(network: Network, max_rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
@@ -121,6 +159,6 @@ def hub_scores(network: Network, max_rounds: int = 50, tolerance: float = 1e-9)
 
     start = network.vertices.select(*VERTEX, F.lit(1.0).alias("x"))
     scores = _iterate(
-        start, network.flow, step, _scaled, max_rounds, tolerance, rounds_per_job=5
+        network, start, network.flow, step, _scaled, max_rounds, tolerance, rounds_per_job=5
     )
     return scores.select(*VERTEX, F.col("x").alias("hub"), F.col("x").alias("authority"))

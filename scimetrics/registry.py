@@ -155,9 +155,16 @@ DATASETS: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "net_ego": _graph(_ego),
     "net_clustering": _graph(structure.clustering, "clustering"),
-    "net_pagerank": _graph(centrality.pagerank, "pagerank"),
-    "net_eigen": _graph(centrality.eigenvector, "eigen"),
-    "net_hits": _graph(centrality.hub_scores, "hub", "authority"),
+    # a fixed number of rounds, so that the SQL statement can repeat them
+    "net_pagerank": _graph(
+        lambda net: centrality.pagerank(net, max_rounds=40, tolerance=0.0), "pagerank"
+    ),
+    "net_eigen": _graph(
+        lambda net: centrality.eigenvector(net, max_rounds=40, tolerance=0.0), "eigen"
+    ),
+    "net_hits": _graph(
+        lambda net: centrality.hub_scores(net, max_rounds=20, tolerance=0.0), "hub", "authority"
+    ),
     "net_community": _graph(structure.communities),
     "net_closeness": _graph(
         lambda net: paths.closeness_of(paths.reach(net)), "closeness", "closeness_norm"
