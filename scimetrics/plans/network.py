@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scimetrics.functions.expressions import pair_share
 from scimetrics.functions.periods import PERIOD_MODES
-from scimetrics.operators.graph import centrality, paths, structure
+from scimetrics.operators.graph import centrality, paths, structure, weighted_paths
 from scimetrics.operators.graph.network import CELL, VERTEX, Network, build_network, incidences
 
 
@@ -89,3 +89,15 @@ def network_vertices(edges: DataFrame, network: Network | None = None) -> DataFr
     network = network or build_network(edges)
     metrics = network.named(vertex_metrics(network))
     return strength(edges).join(metrics, [*CELL, "id"])
+
+
+def weighted_betweenness(edges: DataFrame, network: Network | None = None) -> DataFrame:
+    """Betweenness with both edge weightings and whether the two agree; not exported."""
+    network = network or build_network(edges)
+    by_share = weighted_paths.weighted_betweenness(network, edges, "fractional_weight")
+    by_count = weighted_paths.weighted_betweenness(network, edges, "pair_count")
+    both = by_share.withColumnRenamed("betweenness", "weighted_betweenness").join(
+        by_count.withColumnRenamed("betweenness", "normal_betweenness"), VERTEX
+    )
+    same = F.abs(F.col("weighted_betweenness") - F.col("normal_betweenness")) < 1e-9
+    return network.named(both.withColumn("equal", same))
