@@ -65,18 +65,26 @@ def crossing(df: DataFrame, column: str, labels: Sequence[str]) -> DataFrame:
 
 
 def complete(
-    wide: DataFrame, ids: Sequence[str], labels: Sequence[str], names_to: str, values_to: str
+    wide: DataFrame,
+    ids: Sequence[str],
+    labels: Sequence[str],
+    names_to: str,
+    values_to: str,
+    observed: DataFrame | None = None,
 ) -> DataFrame:
     """Counts of ``wide`` (one row per key, one column per label) as rows, 0 where missing.
 
     As in a fill over observed combinations, a key without any label is left out
-    and so is a label that no key has.
+    and so is a label that no key has. ``observed`` may give the rows whose
+    ``names_to`` column was counted, when they are cheaper to look at than ``wide``.
     """
     counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in labels}
     filled = wide.select(*ids, *counts.values()).where(sum(F.col(c) for c in labels) > 0)
-    seen = filled.agg(
-        F.array_compact(F.array(*[F.when(F.max(c) > 0, c) for c in labels])).alias("seen")
-    ).scalar()
+    if observed is None:
+        flags = filled.agg(*[(F.max(c) > 0).alias(c) for c in labels])
+    else:
+        flags = observed.agg(*[F.bool_or(F.col(names_to) == c).alias(c) for c in labels])
+    seen = flags.select(F.array_compact(F.array(*[F.when(F.col(c), c) for c in labels]))).scalar()
     long = filled.unpivot(list(ids), list(labels), names_to, values_to)
     return long.where(F.array_contains(seen, F.col(names_to)))
 

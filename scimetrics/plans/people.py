@@ -83,7 +83,7 @@ def papers_gender(papers_auth_aff: DataFrame, authors_extra: DataFrame) -> DataF
         *GENDERS,
     )
     ids = ["paper_id", "n_authors", "_copies", "_firsts"]
-    rows = complete(described, ids, GENDERS, "name_gender", "n")
+    rows = complete(described, ids, GENDERS, "name_gender", "n", observed=gendered)
     return (
         rows.withColumn("_copy", F.explode("_copies"))
         .withColumn("gender_first_auth", F.explode_outer("_firsts"))

@@ -45,6 +45,10 @@ class Inputs:
 
     @cached_property
     def raw(self) -> DataFrame:
+        """The flat frame without abstracts, which only their own table needs."""
+        return self._flat(with_text=False)
+
+    def _flat(self, with_text: bool) -> DataFrame:
         order = F.struct(
             "l_orderkey",
             "l_linenumber",
@@ -73,13 +77,13 @@ class Inputs:
             .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(
-                self.table("documents"),
-                F.col("doc_id") == F.col("o_orderkey"),
-                "left",
-            )
             .withColumn("kind", F.explode(F.lit(["Sub", "Top"])))
         )
+        text = []
+        if with_text:
+            written = F.col("doc_id") == F.col("o_orderkey")
+            joined = joined.join(self.table("documents"), written, "left")
+            text = [F.when(F.col("o_orderkey") % 97 == 0, "").otherwise(F.col("text")).alias("ab")]
         return as_raw(
             joined.select(
                 F.col("l_orderkey").alias("PaperID"),
@@ -118,7 +122,7 @@ class Inputs:
                 (per_mille < 5).cast("int").alias("Hit_5pct"),
                 (per_mille < 10).cast("int").alias("Hit_10pct"),
                 (F.col("o_totalprice") / 1000).alias("C_f"),
-                F.when(F.col("o_orderkey") % 97 == 0, "").otherwise(F.col("text")).alias("ab"),
+                *text,
                 order.alias("_seq"),
             )
         )
@@ -211,7 +215,7 @@ class Inputs:
 
     @cached_property
     def abstracts(self) -> DataFrame:
-        return base_tables.papers_abstracts(self.raw)
+        return base_tables.papers_abstracts(self._flat(with_text=True))
 
     @cached_property
     def collab_author_fields(self) -> DataFrame:
