@@ -14,17 +14,17 @@ def top_k_ties(df: DataFrame, by: Sequence[str], value: str, k: int) -> DataFram
     """Rows among the ``k`` largest of their group, with all ties of the last place.
 
     Only a histogram of the ranked value is windowed, one row per group and
-    distinct value; the rows themselves are never gathered per group, so a
-    group with most of the rows, or a tie of any length, stays distributed.
+    distinct value, and of it the ``k`` largest values, which each map task can
+    cut before the shuffle. The rows themselves are never gathered per group, so
+    a group with most of the rows, or a tie of any length, stays distributed.
     """
     histogram = df.groupBy(*by, value).agg(F.count("*").alias("_rows"))
-    ahead = (
-        Window.partitionBy(*by)
-        .orderBy(F.col(value).desc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    downwards = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
+    ahead = F.sum("_rows").over(downwards.rowsBetween(Window.unboundedPreceding, -1))
     kept = (
-        histogram.withColumn("_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
+        histogram.withColumn("_place", F.rank().over(downwards))
+        .where(F.col("_place") <= k)
+        .withColumn("_ahead", F.coalesce(ahead, F.lit(0)))
         .where(F.col("_ahead") < k)
         .select(*by, value)
     )

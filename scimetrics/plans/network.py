@@ -12,6 +12,9 @@ from scimetrics.functions.expressions import pair_share
 from scimetrics.functions.periods import PERIOD_MODES
 from scimetrics.operators.graph import centrality, paths, structure, weighted_paths
 from scimetrics.operators.graph.network import CELL, VERTEX, Network, build_network, incidences
+from scimetrics.operators.joins import join_na
+from scimetrics.session import materialize
+from scimetrics.sources.writers import missing_cells, write_cells
 
 
 def network_edges(
@@ -63,8 +66,11 @@ def strength(edges: DataFrame) -> DataFrame:
     )
 
 
-def vertex_metrics(network: Network) -> DataFrame:
-    """All graph metrics of every vertex except the edge-weighted ones."""
+def vertex_metrics(network: Network, max_rounds: int = 100) -> DataFrame:
+    """All graph metrics of every vertex except the edge-weighted ones.
+
+    ``max_rounds`` bounds the power iterations, which stop earlier once settled.
+    """
     reached = paths.reach(network)
     tables = [
         paths.betweenness(network),
@@ -75,19 +81,21 @@ def vertex_metrics(network: Network) -> DataFrame:
             F.col("within_1").alias("neighborhood_1"),
             F.col("within_2").alias("neighborhood_2"),
         ),
-        centrality.eigenvector(network),
-        centrality.pagerank(network),
-        centrality.hub_scores(network),
+        centrality.eigenvector(network, max_rounds),
+        centrality.pagerank(network, max_rounds=max_rounds),
+        centrality.hub_scores(network, max_rounds // 2),
         structure.clustering(network),
         structure.communities(network),
     ]
     return reduce(lambda a, b: a.join(b, VERTEX), tables)
 
 
-def network_vertices(edges: DataFrame, network: Network | None = None) -> DataFrame:
+def network_vertices(
+    edges: DataFrame, network: Network | None = None, max_rounds: int = 100
+) -> DataFrame:
     """Vertex table with every metric, per field and period."""
     network = network or build_network(edges)
-    metrics = network.named(vertex_metrics(network))
+    metrics = network.named(vertex_metrics(network, max_rounds))
     return strength(edges).join(metrics, [*CELL, "id"])
 
 
@@ -101,3 +109,20 @@ def weighted_betweenness(edges: DataFrame, network: Network | None = None) -> Da
     )
     same = F.abs(F.col("weighted_betweenness") - F.col("normal_betweenness")) < 1e-9
     return network.named(both.withColumn("equal", same))
+
+
+def publish_networks(edges: DataFrame, folder: str, max_rounds: int = 100) -> None:
+    """Write edges, summary and vertices of the cells that ``folder`` does not hold yet.
+
+    Vertices come last: a cell counts as done when its vertices are there, so an
+    interrupted run repeats the cells it did not finish.
+    """
+    todo = missing_cells(edges.select(*CELL).distinct(), f"{folder}/vertices")
+    pending = materialize(join_na(edges, todo, CELL, "left_semi"), "pending")
+    if pending.isEmpty():
+        return
+    network = build_network(pending)
+    write_cells(pending, f"{folder}/edges", sort=[F.desc("pair_count")])
+    write_cells(network.named(structure.summary(network)), f"{folder}/summary")
+    vertices = network_vertices(pending, network, max_rounds)
+    write_cells(vertices, f"{folder}/vertices", sort=["id"])

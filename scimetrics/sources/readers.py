@@ -76,3 +76,9 @@ def read_labelled(spark: SparkSession, path: str, suffix: str, label: str) -> Da
 def stopword_table(spark: SparkSession) -> DataFrame:
     """The fixed stopwords as a table, repeats kept."""
     return spark.createDataFrame([(w,) for w in STOPWORDS], "stopword string")
+
+
+def name_tables(tables: dict[str, DataFrame]) -> None:
+    """Make tables available by name, for ``spark.table`` and SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)

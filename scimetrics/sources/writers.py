@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from scimetrics.operators.joins import join_na
 
@@ -25,10 +25,16 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_cells(df: DataFrame, path: str, by: Sequence[str] = CELL) -> None:
-    """Write the cells present in ``df`` and leave the other cells of the folder alone."""
+def write_cells(
+    df: DataFrame, path: str, by: Sequence[str] = CELL, sort: Sequence[str | Column] = ()
+) -> None:
+    """Write the cells present in ``df`` and leave the other cells of the folder alone.
+
+    ``sort`` orders the rows inside each file.
+    """
     (
         df.hint("rebalance", *by)
+        .sortWithinPartitions(*by, *sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)

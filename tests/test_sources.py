@@ -74,3 +74,8 @@ def test_stopwords(spark):
     table = readers.stopword_table(spark)
     words = [r.stopword for r in table.collect()]
     assert words.count("data") == 2 and "n°" in words
+
+
+def test_tables_by_name(spark):
+    readers.name_tables({"papers_of_test": spark.range(2)})
+    assert spark.table("papers_of_test").count() == 2
