@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# frees the shuffle files of a finished write, which its result no longer needs
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def spark_session(app: str = "scimetrics", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are tuned for.
@@ -33,13 +37,14 @@ def spark_session(app: str = "scimetrics", master: str | None = None, **conf: st
 def work_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own: on a cluster a
-    machine-local path would be invisible to the other executors.
+    Only a session whose tasks all run in the driver's process may fall back to
+    a folder of its own: elsewhere a machine-local path would be invisible to
+    the executors.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     created = tempfile.mkdtemp(prefix="scimetrics-")
     spark.conf.set("spark.checkpoint.dir", created)
@@ -53,6 +58,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     executor, and gives the next plan real sizes to choose its joins by.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark, label)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """An unused path in the shared work folder."""
+    return f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
