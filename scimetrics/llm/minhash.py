@@ -98,9 +98,10 @@ def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
             words = read_words(batch["text"].tolist()[part], lower=True)
             sets = [shingle_set(words, i, size) for i in range(len(words.first) - 1)]
             sets = [s for s in sets if len(s)]
-            yield pd.DataFrame(
-                {"set_id": [_set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
-            )
+            if sets:
+                yield pd.DataFrame(
+                    {"set_id": [_set_id(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]}
+                )
 
 
 def _promising(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd.DataFrame]:

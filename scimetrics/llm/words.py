@@ -12,7 +12,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_CODES = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64)
+CODES = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _powers = {True: np.ones(1, np.uint64), False: np.ones(1, np.uint64)}
@@ -70,7 +70,7 @@ def read_words(texts: Sequence[str | None], lower: bool = False) -> Words:
         return Words(data, start, end, first, np.empty(0, np.uint64))
     place = np.arange(len(codes)) - start[np.maximum(np.cumsum(~space & before) - 1, 0)]
     place[space] = 0
-    values = _CODES[codes] * powers(int((end - start).max()) + 1)[place]
+    values = CODES[codes] * powers(int((end - start).max()) + 1)[place]
     values[space] = 0
     sums = np.add.reduceat(values, start)
     return Words(data, start, end, first, mix(sums + (end - start).astype(np.uint64)))

@@ -21,12 +21,12 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("chunk_bytes", [64, 1 << 20])
-def test_equals_the_tokenizer(spark, chunk_bytes):
+@pytest.mark.parametrize("chunk_characters", [64, 1 << 20])
+def test_equals_the_tokenizer(spark, chunk_characters):
     df = spark.createDataFrame(
         [(i, t, 7, b"x") for i, t in enumerate(TEXTS)], "doc_id long, text string, chunk int, ids binary"
     )
-    rows = bpe.encode_decode(df, PATH, chunk_bytes=chunk_bytes).collect()
+    rows = bpe.encode_decode(df, PATH, chunk_characters=chunk_characters).collect()
     tokenizer = bpe.tokenizer(PATH)
     assert len(rows) == len(TEXTS)
     for row in rows:
@@ -43,7 +43,7 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.digests(bpe.encode_decode(df, PATH)).collect() == []
+    assert bpe.encode_decode(df, PATH, result=bpe.DIGESTS).collect() == []
 
 
 def test_digests_and_join_decoding(spark):
@@ -52,7 +52,7 @@ def test_digests_and_join_decoding(spark):
     decoded = bpe.decode(encoded.select("doc_id", "ids"), bpe.piece_table(spark, PATH), "doc_id")
     joined = encoded.join(decoded.withColumnRenamed("decoded", "again"), "doc_id").collect()
     assert all(r.decoded == r.again for r in joined)
-    for row in bpe.digests(encoded).collect():
+    for row in bpe.encode_decode(df, PATH, result=bpe.DIGESTS).collect():
         ids = bpe.tokenizer(PATH).encode("To be, or not" if row.doc_id == 0 else "").ids
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
