@@ -2,7 +2,7 @@
 
 import re
 
-from scimetrics.functions.wordlists import FUNCTION_WORDS, STOPWORDS
+from scimetrics.functions.wordlists import STOPWORDS
 
 STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(STOPWORDS)))
 QUIN_BREAKS = """CASE WHEN year BETWEEN 1990 AND 1994 THEN '1990-1994' WHEN year BETWEEN 1995 AND 1999 THEN '1995-1999'
@@ -14,9 +14,23 @@ QUIN_FIRST = """CASE year WHEN 1990 THEN '1990-1994' WHEN 1995 THEN '1995-1999'
  WHEN 2005 THEN '2005-2009' WHEN 2010 THEN '2010-2014' WHEN 2015 THEN '2015-2019' WHEN 2020 THEN '2020-2021' END"""
 
 
+# the statement's own copy of the profiles
+PROFILES = {
+    "en": "the of and to in is that it on for was with as by",
+    "fr": "le la les de des et un une en que qui dans du elle",
+    "de": "der die und das den von zu ein eine ist mit nicht",
+    "es": "el la los de que y en un una por con las del",
+    "pt": "o os de que e em um uma por com do da dos das não para",
+    "nl": "de het een en van in is dat op te met voor zijn niet",
+    "it": "il lo la gli le di che e un una per con del della non è",
+}
+
+
 def _score(code: str) -> str:
-    listed = ", ".join(f"'{w}'" for w in FUNCTION_WORDS[code])
-    return f"len(list_intersect(list_distinct(w), [{listed}]))"
+    """Different function words of a language, 0 if they are too small a share of all words."""
+    listed = ", ".join(f"'{w}'" for w in PROFILES[code].split())
+    share = f"len(list_filter(w, lambda x: x IN ({listed}))) >= len(w) * 0.08::DOUBLE"
+    return f"CASE WHEN {share} THEN len(list_intersect(list_distinct(w), [{listed}])) ELSE 0 END"
 
 
 CTES = {
@@ -43,12 +57,10 @@ SELECT CAST(l.l_orderkey AS BIGINT) AS paper_id, CAST(l.l_partkey AS BIGINT) AS
  concat('Paper ', CAST(o.o_orderkey AS VARCHAR)) AS paper_title,
  CASE WHEN o.o_orderkey % 100 < 1 THEN 1 ELSE 0 END AS hit_1pct, CASE WHEN o.o_orderkey % 100 < 5 THEN 1 ELSE 0 END AS hit_5pct,
  CASE WHEN o.o_orderkey % 100 < 10 THEN 1 ELSE 0 END AS hit_10pct, o.o_totalprice/1000 AS c_f,
- CASE WHEN o.o_orderkey % 97 = 0 THEN '' ELSE d.text END AS ab,
  row_number() OVER (ORDER BY l.l_orderkey,l.l_linenumber,l.l_partkey,l.l_suppkey,l.l_shipdate,l.l_extendedprice,f.k) AS seq
 FROM lineitem l JOIN orders o ON o.o_orderkey=l.l_orderkey JOIN part p ON p.p_partkey=l.l_partkey
 JOIN supplier s ON s.s_suppkey=l.l_suppkey JOIN nation n ON n.n_nationkey=s.s_nationkey
-CROSS JOIN (SELECT 'Sub' AS k UNION ALL SELECT 'Top' AS k) f
-LEFT JOIN documents d ON d.doc_id=o.o_orderkey""",
+CROSS JOIN (SELECT 'Sub' AS k UNION ALL SELECT 'Top' AS k) f""",
     "t_countries": """
 SELECT concat('N', CAST(n_nationkey AS VARCHAR)) AS iso2c, r_name AS subregion_un, r_name AS region
 FROM nation JOIN region ON r_regionkey=n_regionkey WHERE n_nationkey > 1""",
@@ -82,8 +94,8 @@ FROM raw QUALIFY row_number() OVER (PARTITION BY paper_id, author_id, affiliatio
 SELECT paper_id, CAST(field_id AS BIGINT) AS field_id, field_name, field_type, hit_1pct, hit_5pct, hit_10pct, c_f, seq
 FROM raw QUALIFY row_number() OVER (PARTITION BY paper_id, field_id ORDER BY seq)=1""",
     "t_abstracts": """
-SELECT paper_id, ab AS paper_abstract, year
-FROM (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY seq)=1) WHERE ab IS NOT NULL AND ab <> ''""",
+SELECT paper_id, d.text AS paper_abstract, year FROM t_papers JOIN documents d ON d.doc_id=paper_id
+WHERE paper_id % 97 <> 0 AND d.text IS NOT NULL AND d.text <> ''""",
     "t_extra": """
 SELECT a.*, mf.author_main_field, fn.field_name, g.p_gf, g.name_gender, ma.main_affiliation_id,
  af.affiliation_name, af.country_name, af.subregion_un, af.region
@@ -144,16 +156,15 @@ JOIN (SELECT f.paper_id, f.field_name AS paper_field, c.author_id, c.topfield_na
       QUALIFY row_number() OVER (PARTITION BY f.paper_id, c.author_id ORDER BY f.seq)=1) x ON x.paper_id=p.paper_id
 WHERE x.paper_field IS NOT NULL""",
     "t_lang": f"""
-SELECT paper_id, year, paper_abstract, CASE WHEN greatest(en,fr,de,es)=0 THEN NULL WHEN en=greatest(en,fr,de,es) THEN 'en'
-  WHEN fr=greatest(en,fr,de,es) THEN 'fr' WHEN de=greatest(en,fr,de,es) THEN 'de' ELSE 'es' END AS lang
-FROM (SELECT *, {_score('en')} AS en, {_score('fr')} AS fr, {_score('de')} AS de, {_score('es')} AS es
+SELECT paper_id, year, paper_abstract, CASE greatest(en,fr,de,es,pt,nl,it) WHEN 0 THEN NULL WHEN en THEN 'en' WHEN fr THEN 'fr'
+  WHEN de THEN 'de' WHEN es THEN 'es' WHEN pt THEN 'pt' WHEN nl THEN 'nl' ELSE 'it' END AS lang
+FROM (SELECT *, {", ".join(f"{_score(k)} AS {k}" for k in PROFILES)}
       FROM (SELECT *, regexp_extract_all(lower(paper_abstract), '\\p{{L}}+') AS w FROM t_abstracts))""",
     "t_lemmas": """
 SELECT paper_id, CASE WHEN regexp_matches(f, '[^aeiou]ies$') AND length(f) > 4 THEN regexp_replace(f, 'ies$', 'y')
   WHEN regexp_matches(f, '(ss|us|is)$') THEN f WHEN regexp_matches(f, '(s|x|z|ch|sh)es$') THEN regexp_replace(f, 'es$', '')
   WHEN f LIKE '%s' AND length(f) > 3 THEN regexp_replace(f, 's$', '') ELSE f END AS lemma
-FROM (SELECT paper_id, unnest(regexp_extract_all(lower(paper_abstract), '\\p{L}+')) AS f FROM t_lang WHERE lang='en')
-WHERE length(f) >= 3""",
+FROM (SELECT paper_id, unnest(regexp_extract_all(lower(paper_abstract), '\\p{L}+')) AS f FROM t_lang WHERE lang='en')""",
     "t_nouns": """
 SELECT paper_id, lemma, count(*) AS n FROM t_lemmas WHERE regexp_matches(lemma, '(ion|er|ing|nd|th)$') GROUP BY 1,2""",
     "t_field_nouns": """

@@ -16,20 +16,30 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
+#: A language needs at least this share of function words among all words.
+LEAST_SHARE = 0.08
+
+
+def _occurrences(found: Column, profile: Sequence[str]) -> Column:
+    return F.size(F.filter(found, lambda w: w.isin(list(profile))))
+
+
 def language(found: Column, profiles: dict[str, list[str]] | None = None) -> Column:
     """Language whose function words cover the ``found`` words of a text best.
 
     The score is how many different words of the profile occur; the earlier
-    profile wins a tie and a text without any such word has no language.
+    profile wins a tie. A text in which less than LEAST_SHARE of all words are
+    function words of the best language has none.
     """
     profiles = profiles or FUNCTION_WORDS
     scored = []
     for position, (code, profile) in enumerate(profiles.items()):
         score = F.size(F.array_intersect(found, F.lit(list(profile))))
+        enough = _occurrences(found, profile) >= F.size(found) * LEAST_SHARE
         entry = F.struct(
             score.alias("score"), F.lit(-position).alias("preference"), F.lit(code).alias("code")
         )
-        scored.append(F.when(score > 0, entry))
+        scored.append(F.when((score > 0) & enough, entry))
     # the largest entry has the best score, then the earliest profile
     return F.array_max(F.array(*scored))["code"]
 

@@ -13,6 +13,7 @@ from scimetrics.session import materialize
 
 Step = Callable[[DataFrame, DataFrame], DataFrame]
 HUB_ROWS = 1_000_000
+MOST_ROUNDS = 20_000
 
 
 def _split_hubs(network: Network, flow: DataFrame) -> DataFrame:
@@ -65,12 +66,16 @@ def _iterate(
     flow: DataFrame,
     step: Step,
     finish: Callable[[DataFrame], DataFrame],
-    max_rounds: int,
+    rounds: int | None,
     tolerance: float,
     rounds_per_job: int = 10,
 ) -> DataFrame:
     """Repeat ``step`` until no value moves by more than ``tolerance`` over a job.
 
+    With ``rounds`` exactly so many are made instead, settled or not. Without,
+    the job goes on to rest and raises after MOST_ROUNDS; it never hands back
+    values that still move.
+
     Several rounds form one plan, then the values are written out, which bounds
     both the plan and the recomputation after a lost executor. The neighbour
     table is kept partitioned by the key that every round joins on.
@@ -83,10 +88,12 @@ def _iterate(
         state = state.join(parts, VERTEX)
     flow = flow.repartition(*placing).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for _ in range(0, max_rounds, rounds_per_job):
-            advanced = state
-            for _ in range(rounds_per_job):
+        done, most = 0, MOST_ROUNDS if rounds is None else rounds
+        while done < most:
+            advanced, now = state, min(rounds_per_job, most - done)
+            for _ in range(now):
                 advanced = step(advanced, flow)
+            done += now
             advanced = materialize(finish(advanced), "rounds")
             before = state.select(*VERTEX, F.col("x").alias("before"))
             moved = (
@@ -95,15 +102,18 @@ def _iterate(
                 .first()["moved"]
             )
             state = advanced
-            if moved is None or moved <= tolerance:
+            if rounds is None and (moved is None or moved <= tolerance):
                 break
+        else:
+            if rounds is None:
+                raise RuntimeError(f"values still move by {moved} after {done} rounds")
     finally:
         flow.unpersist()
     return state.select(*VERTEX, "x")
 
 
 def pagerank(
-    network: Network, damping: float = 0.85, max_rounds: int = 100, tolerance: float = 1e-9
+    network: Network, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-9
 ) -> DataFrame:
     """PageRank per cell over unweighted, possibly parallel edges.
 
@@ -123,11 +133,11 @@ def pagerank(
         return pulled.withColumn("x", F.col("base") + damping * F.col("x")).drop("base")
 
     start = vertices.select(*VERTEX, (1 / F.col("n")).alias("x"))
-    ranks = _iterate(network, start, shares, step, lambda s: s, max_rounds, tolerance)
+    ranks = _iterate(network, start, shares, step, lambda s: s, rounds, tolerance)
     return ranks.withColumnRenamed("x", "pagerank")
 
 
-def eigenvector(network: Network, max_rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def eigenvector(network: Network, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Principal eigenvector per cell, largest value 1.
 
     Iterates A + I, which has the eigenvectors of A and does not oscillate on
@@ -142,11 +152,11 @@ def eigenvector(network: Network, max_rounds: int = 100, tolerance: float = 1e-9
         return _pull(state, flow, F.col("x") * F.col("m"))
 
     start = network.vertices.select(*VERTEX, F.lit(1.0).alias("x"))
-    scores = _iterate(network, start, shifted, step, _scaled, max_rounds, tolerance)
+    scores = _iterate(network, start, shifted, step, _scaled, rounds, tolerance)
     return scores.withColumnRenamed("x", "eigen")
 
 
-def hub_scores(network: Network, max_rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
+def hub_scores(network: Network, rounds: int | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Hub and authority scores per cell, the leading vector of A·A with largest value 1.
 
     Both coincide on an undirected graph. A cell with a bipartite leading
@@ -159,6 +169,6 @@ def hub_scores(network: Network, max_rounds: int = 50, tolerance: float = 1e-9)
 
     start = network.vertices.select(*VERTEX, F.lit(1.0).alias("x"))
     scores = _iterate(
-        network, start, network.flow, step, _scaled, max_rounds, tolerance, rounds_per_job=5
+        network, start, network.flow, step, _scaled, rounds, tolerance, rounds_per_job=5
     )
     return scores.select(*VERTEX, F.col("x").alias("hub"), F.col("x").alias("authority"))

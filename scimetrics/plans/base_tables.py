@@ -75,11 +75,13 @@ def author_gender(tsv: DataFrame) -> DataFrame:
     )
 
 
-def author_main_field(tsv: DataFrame) -> DataFrame:
+def author_main_field(tsv: DataFrame, keep_order: bool = False) -> DataFrame:
+    """``keep_order`` keeps the row order, which decides between rows of one author."""
     return tsv.select(
         F.col("AuthorID").try_cast("long").alias("author_id"),
         F.col("field_predominant_all").try_cast("long").alias("author_main_field"),
         F.col("type_predominant_all").alias("field_type"),
+        *([ORDER] if keep_order else []),
     )
 
 

@@ -18,17 +18,22 @@ def author_fields(
 ) -> DataFrame:
     """One main sub field and top field per author.
 
-    A sub field may have several names or top fields; the first match counts:
-    by name order, then by the ``ordinal`` of the lookup.
+    The first match counts: by the row order of the authors' fields, then by
+    the first appearance of a sub field's name among the papers' fields, then
+    by the ``ordinal`` of the lookup. Tables without ``_seq`` have no order of
+    their own and go by value.
     """
-    names = (
-        papers_fields.where(F.col("field_type") == "Sub")
-        .select(F.col("field_id").alias("author_subfield"), F.col("field_name").alias("subfield_name"))
-        .distinct()
+    sub = papers_fields.where(F.col("field_type") == "Sub")
+    name = F.col("field_name")
+    appeared = F.min(ORDER if ORDER in papers_fields.columns else name)
+    names = sub.groupBy(F.col("field_id").alias("author_subfield"), name.alias("subfield_name")).agg(
+        appeared.alias("_name_seq")
     )
-    subs = author_main_field.select("author_id", F.col("author_main_field").alias("author_subfield"))
+    subfield = F.col("author_main_field")
+    row = F.col(ORDER) if ORDER in author_main_field.columns else subfield
+    subs = author_main_field.select("author_id", subfield.alias("author_subfield"), row.alias("_row_seq"))
     matched = join_na(join_na(subs, names, ["author_subfield"]), top_of_sub, ["subfield_name"])
-    order = F.struct("author_subfield", "subfield_name", "ordinal", "topfield_name")
+    order = F.struct("_row_seq", "_name_seq", "subfield_name", "ordinal", "topfield_name")
     return keep_first(
         matched.select("author_id", "author_subfield", "topfield_name", order.alias(ORDER)),
         ["author_id"],

@@ -66,10 +66,10 @@ def strength(edges: DataFrame) -> DataFrame:
     )
 
 
-def vertex_metrics(network: Network, max_rounds: int = 100) -> DataFrame:
+def vertex_metrics(network: Network) -> DataFrame:
     """All graph metrics of every vertex except the edge-weighted ones.
 
-    ``max_rounds`` bounds the power iterations, which stop earlier once settled.
+    Power iterations run until they have settled.
     """
     reached = paths.reach(network)
     tables = [
@@ -81,21 +81,19 @@ def vertex_metrics(network: Network, max_rounds: int = 100) -> DataFrame:
             F.col("within_1").alias("neighborhood_1"),
             F.col("within_2").alias("neighborhood_2"),
         ),
-        centrality.eigenvector(network, max_rounds),
-        centrality.pagerank(network, max_rounds=max_rounds),
-        centrality.hub_scores(network, max_rounds // 2),
+        centrality.eigenvector(network),
+        centrality.pagerank(network),
+        centrality.hub_scores(network),
         structure.clustering(network),
         structure.communities(network),
     ]
     return reduce(lambda a, b: a.join(b, VERTEX), tables)
 
 
-def network_vertices(
-    edges: DataFrame, network: Network | None = None, max_rounds: int = 100
-) -> DataFrame:
+def network_vertices(edges: DataFrame, network: Network | None = None) -> DataFrame:
     """Vertex table with every metric, per field and period."""
     network = network or build_network(edges)
-    metrics = network.named(vertex_metrics(network, max_rounds))
+    metrics = network.named(vertex_metrics(network))
     return strength(edges).join(metrics, [*CELL, "id"])
 
 
@@ -111,7 +109,7 @@ def weighted_betweenness(edges: DataFrame, network: Network | None = None) -> Da
     return network.named(both.withColumn("equal", same))
 
 
-def publish_networks(edges: DataFrame, folder: str, max_rounds: int = 100) -> None:
+def publish_networks(edges: DataFrame, folder: str) -> None:
     """Write edges, summary and vertices of the cells that ``folder`` does not hold yet.
 
     Vertices come last: a cell counts as done when its vertices are there, so an
@@ -124,5 +122,5 @@ def publish_networks(edges: DataFrame, folder: str, max_rounds: int = 100) -> No
     network = build_network(pending)
     write_cells(pending, f"{folder}/edges", sort=[F.desc("pair_count")])
     write_cells(network.named(structure.summary(network)), f"{folder}/summary")
-    vertices = network_vertices(pending, network, max_rounds)
+    vertices = network_vertices(pending, network)
     write_cells(vertices, f"{folder}/vertices", sort=["id"])

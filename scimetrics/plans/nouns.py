@@ -33,7 +33,6 @@ def abstract_nouns(
     abstracts: DataFrame,
     lexicon: DataFrame | None = None,
     suffixes: Sequence[str] = NOUN_SUFFIXES,
-    min_length: int = 3,
 ) -> DataFrame:
     """Noun counts per English abstract.
 
@@ -50,7 +49,7 @@ def abstract_nouns(
         .agg(F.count("*").alias("n"))
     )
     by_rule = singular(F.col("form"))
-    rule_holds = (F.length("form") >= min_length) & ends_with_any(by_rule, suffixes)
+    rule_holds = ends_with_any(by_rule, suffixes)
     if lexicon is None:
         tagged = forms.where(rule_holds).withColumn("lemma", by_rule)
     else:

@@ -155,15 +155,15 @@ DATASETS: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "net_ego": _graph(_ego),
     "net_clustering": _graph(structure.clustering, "clustering"),
-    # a fixed number of rounds, so that the SQL statement can repeat them
+    # the rounds asked for, so that the SQL statement can repeat them; vertex tables run to rest
     "net_pagerank": _graph(
-        lambda net: centrality.pagerank(net, max_rounds=40, tolerance=0.0), "pagerank"
+        lambda net: centrality.pagerank(net, rounds=40), "pagerank"
     ),
     "net_eigen": _graph(
-        lambda net: centrality.eigenvector(net, max_rounds=40, tolerance=0.0), "eigen"
+        lambda net: centrality.eigenvector(net, rounds=40), "eigen"
     ),
     "net_hits": _graph(
-        lambda net: centrality.hub_scores(net, max_rounds=20, tolerance=0.0), "hub", "authority"
+        lambda net: centrality.hub_scores(net, rounds=20), "hub", "authority"
     ),
     "net_community": _graph(structure.communities),
     "net_closeness": _graph(

@@ -34,38 +34,75 @@ def as_raw(df: DataFrame) -> DataFrame:
 def read_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """The flat frame from Parquet; without ``_seq`` the file position is the order.
 
-    File name and row index are known per file, so no global numbering pass
+    File path and row index are known per file, so no global numbering pass
     over the rows is needed.
     """
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.parquet(path)
     if ORDER not in df.columns:
-        position = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+        position = F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
         df = df.select("*", position.alias(ORDER))
     return as_raw(df)
 
 
 def read_tsv(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """Named columns of a headed TSV; others are ignored and ``NA`` is missing."""
+    """Named columns of a headed TSV; others are ignored and ``NA`` is missing.
+
+    ``_seq`` is the row order: the file, the block of it that a task read, and
+    the running number in that task.
+    """
     wanted = T.StructType.fromDDL(columns)
     raw = spark.read.csv(path, sep="\t", header=True, inferSchema=False, nullValue="NA")
+    position = F.struct(
+        F.col("_metadata.file_path"),
+        F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
     return raw.select(
-        *[F.nullif(F.col(f"`{f.name}`"), F.lit("")).try_cast(f.dataType).alias(f.name) for f in wanted]
+        *[F.nullif(F.col(f"`{f.name}`"), F.lit("")).try_cast(f.dataType).alias(f.name) for f in wanted],
+        position.alias(ORDER),
     )
 
 
-def read_nouns(spark: SparkSession, path: str) -> DataFrame:
-    """Externally tagged nouns from a folder of CSV files; bad or lost files are skipped."""
+def _noun_rows(spark: SparkSession, path: str) -> DataFrame:
     return (
-        spark.read.schema(NOUN_SCHEMA)
+        spark.read.schema(f"{NOUN_SCHEMA}, _rejected string")
         .option("header", True)
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_rejected")
+        # else a reader of few columns would not see what is wrong in the others
+        .option("columnPruning", False)
         .option("ignoreMissingFiles", True)
         .option("ignoreCorruptFiles", True)
         .csv(path)
     )
 
 
+def read_nouns(spark: SparkSession, path: str) -> DataFrame:
+    """Externally tagged nouns from a folder of CSV files; unreadable files are skipped.
+
+    Rows that do not fit the schema are in ``rejected_nouns`` instead.
+    """
+    return _noun_rows(spark, path).where(F.col("_rejected").isNull()).drop("_rejected")
+
+
+def rejected_nouns(spark: SparkSession, path: str) -> DataFrame:
+    """(file, rejected, with_id, first): rows per file that ``read_nouns`` leaves out.
+
+    ``with_id`` of them have a readable paper_id, ``first`` is one of them.
+    """
+    rows = _noun_rows(spark, path).select("*", F.col("_metadata.file_path").alias("file"))
+    return (
+        rows.where(F.col("_rejected").isNotNull())
+        .groupBy("file")
+        .agg(
+            F.count("*").alias("rejected"),
+            F.count("paper_id").alias("with_id"),
+            F.min("_rejected").alias("first"),
+        )
+    )
+
+
 def read_labelled(spark: SparkSession, path: str, suffix: str, label: str) -> DataFrame:
     """A folder of Parquet files as one table; the file name gives the ``label`` column."""
     df = spark.read.option("recursiveFileLookup", True).parquet(path)

@@ -39,6 +39,32 @@ def test_noun_folder_skips_bad_rows(spark, tmp_path):
     assert "broken" not in [r.lemma for r in found.collect()]
 
 
+def test_rejected_rows_are_counted(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("paper_id,lemma,n\n1,cell,2\n1,broken\nx,cell,3\n")
+    (tmp_path / "2.csv").write_text("paper_id,lemma,n\n2,water,1\n")
+    (found,) = readers.rejected_nouns(spark, str(tmp_path)).collect()
+    assert found.rejected == 2 and found.file.endswith("1.csv")
+    assert rows(readers.read_nouns(spark, str(tmp_path))) == [(1, "cell", 2), (2, "water", 1)]
+
+
+def test_equal_file_names_keep_their_order(spark, tmp_path):
+    df = spark.createDataFrame([(1, a) for a in range(4)], "PaperID long, AuthorID long")
+    for name, part in (("a", df.where("AuthorID < 2")), ("b", df.where("AuthorID >= 2"))):
+        part.coalesce(1).write.parquet(str(tmp_path / "made" / name))
+        folder = tmp_path / "raw" / f"part={name}"
+        folder.mkdir(parents=True)
+        written = next((tmp_path / "made" / name).glob("part-*.parquet"))
+        (folder / "data.parquet").write_bytes(written.read_bytes())
+    raw = readers.read_raw(spark, str(tmp_path / "raw"))
+    assert raw.select("_seq").distinct().count() == 4
+
+
+def test_tsv_keeps_its_row_order(spark, tmp_path):
+    (tmp_path / "f.tsv").write_text("A\tB\n" + "".join(f"{i % 3}\t{9 - i}\n" for i in range(9)))
+    df = readers.read_tsv(spark, str(tmp_path / "f.tsv"), "A long, B long")
+    assert [r.B for r in df.orderBy("_seq").collect()] == list(range(9, 0, -1))
+
+
 def test_file_names_become_labels(spark, tmp_path):
     spark.range(1).coalesce(1).write.parquet(str(tmp_path / "made"))
     part = next((tmp_path / "made").glob("part-*.parquet"))

@@ -96,3 +96,20 @@ def test_regions_override(spark):
         (2, "Latin America and the Caribbean", "South America"),
         (3, None, None),
     ]
+
+
+def test_first_author_field_follows_the_input_order(spark):
+    fields = spark.createDataFrame(
+        [(1, 103, "C", "Sub", 1), (1, 105, "Z", "Sub", 2), (2, 105, "A", "Sub", 3), (1, 104, "D", "Sub", 4)],
+        "paper_id long, field_id long, field_name string, field_type string, _seq long",
+    )
+    lookup = spark.createDataFrame(
+        [("C", "TC", 1), ("Z", "TZ", 1), ("A", "TA", 1), ("D", "TD", 1)],
+        "subfield_name string, topfield_name string, ordinal int",
+    )
+    main = spark.createDataFrame(
+        [(1, 105, 1), (1, 103, 2), (2, None, 3), (2, 104, 4)],
+        "author_id long, author_main_field long, _seq long",
+    )
+    found = disciplines.author_fields(main, fields, lookup)
+    assert rows(found) == [(1, 105, "TZ"), (2, None, None)]

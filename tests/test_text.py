@@ -19,6 +19,25 @@ def test_language_and_ties(spark):
     assert rows(found) == [(1, "en"), (2, "fr"), (3, None), (4, None), (5, "fr")]
 
 
+def test_one_shared_word_makes_no_language(spark):
+    df = spark.createDataFrame(
+        [
+            (1, "o gato do vizinho não dorme para um bom dia com a casa"),
+            (2, "het huis van de man is niet groot en dat is goed"),
+            (3, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu of"),
+            (4, "la casa della donna non è grande e il cane dorme"),
+        ],
+        "paper_id long, paper_abstract string",
+    )
+    found = nouns.detect_language(df).select("paper_id", "lang")
+    assert rows(found) == [(1, "pt"), (2, "nl"), (3, None), (4, "it")]
+
+
+def test_short_nouns_are_kept(spark):
+    df = spark.createDataFrame([(1, "the ox is in the field of the fox")], "paper_id long, paper_abstract string")
+    assert rows(nouns.abstract_nouns(df, suffixes=("ox",))) == [(1, "fox", 1), (1, "ox", 1)]
+
+
 def test_singular(spark):
     forms = {"cities": "city", "glasses": "glass", "boxes": "box", "cells": "cell", "basis": "basis", "gas": "gas"}
     df = spark.createDataFrame([(f,) for f in forms], "f string")
