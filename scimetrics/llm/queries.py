@@ -19,6 +19,7 @@ from scimetrics.llm import (
     toxicity,
     warc,
 )
+from scimetrics.llm.statements import STATEMENTS as STATEMENTS
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -28,7 +29,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.archive(_table(spark, folder, "pages"))
+    found = warc.archive(_table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,5 +87,3 @@ QUERIES = {
     "op10_pii": op10_pii,
     "pipeline": corpus_pipeline.run,
 }
-
-STATEMENTS: dict[str, str] = {}
