@@ -187,6 +187,9 @@ WHERE s.year IN (1990,1995,2000,2005,2010,2015,2020)""",
     "t_edges": """
 SELECT k.field, k.quin, c.author_1, c.author_2, sum(2.0::DOUBLE/(k.author_count*(k.author_count-1))) AS fractional_weight, count(*) AS pair_count
 FROM t_cells k JOIN t_collab c ON c.paper_id=k.paper_id GROUP BY 1,2,3,4""",
+    "t_cells_full": f"""
+SELECT DISTINCT s.paper_id, f.field_name AS field, {QUIN_RANGE} AS quin, s.author_count
+FROM t_summary s JOIN t_fields f ON f.paper_id=s.paper_id AND f.field_type='Top' WHERE s.year BETWEEN 1990 AND 2021""",
     "t_ends": """
 SELECT field, quin, author_1 AS id, author_2 AS other, fractional_weight, pair_count FROM t_edges
 UNION ALL SELECT field, quin, author_2, author_1, fractional_weight, pair_count FROM t_edges""",

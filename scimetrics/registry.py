@@ -83,9 +83,11 @@ def _complete_grid(d: Inputs) -> DataFrame:
     return complete(wide, ["paper_id"], kinds, "field_type", "n")
 
 
-def _edges(d: Inputs) -> DataFrame:
+def _edges(d: Inputs, period_mode: str = "first_year") -> DataFrame:
     pairs = collaboration.collab_authors(d.papers_auth_aff, d.papers)
-    return network.network_edges(_papers_summary(d), d.papers_fields, pairs)
+    return network.network_edges(
+        _papers_summary(d), d.papers_fields, pairs, period_mode=period_mode
+    )
 
 
 def _graph(metric: Callable[[Network], DataFrame], *columns: str) -> Callable[[Inputs], DataFrame]:
@@ -146,6 +148,7 @@ DATASETS: dict[str, Callable[[Inputs], DataFrame]] = {
         cooccurrence.cooccurrence_nodes(_top_cooccurrence(d)), "value_log"
     ),
     "net_edges": lambda d: rounded(_edges(d), "fractional_weight"),
+    "net_edges_full": lambda d: rounded(_edges(d, "full"), "fractional_weight"),
     "net_strength": lambda d: rounded(
         network.strength(_edges(d)).select("field", "quin", "id", "weighted_degree", "degree"),
         "weighted_degree",

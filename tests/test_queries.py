@@ -4,7 +4,9 @@ from pathlib import Path
 
 import pytest
 
-from tests.compare import connect, difference, oracle_sql, queries
+from oracles import STATEMENTS
+from scimetrics.registry import QUERIES
+from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
 # their operators are checked against brute force in test_graph.py
@@ -20,11 +22,11 @@ ITERATIVE = {
 
 
 def test_every_statement_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"net_betweenness"}
+    assert set(STATEMENTS) <= set(QUERIES)
+    assert set(QUERIES) - set(STATEMENTS) == {"net_betweenness"}
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
-@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - ITERATIVE))
+@pytest.mark.parametrize("name", sorted(set(STATEMENTS) - ITERATIVE))
 def test_query_equals_statement(spark, name):
     assert difference(spark, connect(FOLDER), name, FOLDER) is None
