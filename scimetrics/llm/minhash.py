@@ -22,8 +22,10 @@ from scimetrics.llm.tables import checked, components, id_columns, known_ids
 from scimetrics.llm.words import Words, read_words, runs, text_slices
 from scimetrics.session import materialize
 
-BANDS, ROWS, BATCH = 32, 4, 32
-VALUES = BANDS * ROWS
+BANDS, ROWS = 32, 4
+VALUES, BATCH = 256, 64
+#: Larger buckets are compared in blocks of signatures instead of rows of pairs.
+SMALL_BUCKET, LEFT_BLOCK, RIGHT_BLOCK = 12, 512, 4096
 
 _rng = np.random.default_rng(6)
 _A = _rng.integers(1, 2**63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,6 +39,8 @@ def least_matches(percent: int, miss: float) -> list[int]:
     """Fewest equal values that keep a pair alive after each batch.
 
     With a uniform prior P(similarity >= x | m of n) = P(Binomial(n + 1, x) <= m).
+    Only the low byte of a value is kept, which makes chance equalities a little
+    more likely and so prunes a little less.
     """
     x, least = percent / 100, []
     for n in range(BATCH, VALUES + 1, BATCH):
@@ -76,9 +80,10 @@ def _sketches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFra
                     rows.append((0, None, None, None))
                     continue
                 signature = _signature(values)
-                keys = (signature.reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64)
+                banded = signature[: BANDS * ROWS].reshape(BANDS, ROWS)
+                keys = (banded * _FOLD).sum(axis=1, dtype=np.uint64)
                 keys = (keys ^ (keys >> np.uint64(29))) * _A[:BANDS] + _B[:BANDS]
-                low = signature.astype(np.uint16).tobytes()
+                low = signature.astype(np.uint8).tobytes()
                 rows.append((len(values), _set_id(values), low, keys.view(np.int64)))
             sizes, sets, low, bands = zip(*rows)
             yield pd.DataFrame(
@@ -107,8 +112,8 @@ def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
 def _promising(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         alive = np.arange(len(batch))
-        a = np.frombuffer(b"".join(batch["sig_a"]), np.uint16).reshape(-1, VALUES)
-        b = np.frombuffer(b"".join(batch["sig_b"]), np.uint16).reshape(-1, VALUES)
+        a = np.frombuffer(b"".join(batch["sig_a"]), np.uint8).reshape(-1, VALUES)
+        b = np.frombuffer(b"".join(batch["sig_b"]), np.uint8).reshape(-1, VALUES)
         equal = np.zeros(len(batch), int)
         for k, needed in enumerate(least):
             part = slice(k * BATCH, (k + 1) * BATCH)
@@ -117,20 +122,104 @@ def _promising(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd
         yield batch[["a", "b"]].iloc[alive]
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets reach the threshold."""
+def _block(frame: pd.DataFrame, least: list[int]) -> pd.DataFrame:
+    """Promising pairs between the left and the right rows of one block of a bucket."""
+    frame = frame.reset_index(drop=True)
+    left, right = frame[frame["left"]], frame[~frame["left"]]
+    found = []
+    if len(right):
+        body = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(-1, VALUES)
+        ids, roots, parts = (right[c].to_numpy() for c in ("set_id", "root", "part"))
+        for row in left.itertuples(index=False):
+            own = np.frombuffer(row.signature, np.uint8)
+            alive = np.flatnonzero((roots != row.root) & ((parts != row.part) | (ids > row.set_id)))
+            equal = np.zeros(len(alive), int)
+            for k, needed in enumerate(least):
+                part = slice(k * BATCH, (k + 1) * BATCH)
+                equal += (body[alive, part] == own[part]).sum(axis=1)
+                keep = equal >= needed
+                alive, equal = alive[keep], equal[keep]
+            found.append(pd.DataFrame({"a": row.set_id, "b": ids[alive]}))
+    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []})
+
+
+def _promising_pairs(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
     signed = classes.select("set_id", "signature")
     both = pairs.join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b")
-    prune = partial(_promising, least=least_matches(percent, miss))
-    alive = materialize(both.mapInPandas(prune, "a long, b long"), "alive")
+    return both.mapInPandas(partial(_promising, least=least), "a long, b long")
+
+
+def _blocks(rows: DataFrame, least: list[int]) -> DataFrame:
+    """Promising pairs of ``rows(group, set_id, root, signature, left, right)`` within their group.
+
+    Rows with ``left`` form blocks of LEFT_BLOCK that meet blocks of RIGHT_BLOCK
+    of the rows with ``right``: a task gets a bounded block, and pairs exist in
+    its memory only. Rows on both sides meet once.
+    """
+    sizes = rows.groupBy("group").agg(
+        F.ceil(F.count_if("left") / LEFT_BLOCK).alias("parts"), F.ceil(F.count_if("right") / RIGHT_BLOCK).alias("pages")
+    )
+    sizes = materialize(sizes, "sizes")
+    rows = rows.join(sizes, "group")
+    rows = rows.withColumn("part", F.when(F.col("left"), F.pmod(F.xxhash64("set_id"), "parts")))
+    rows = materialize(rows.withColumn("page", F.pmod(F.xxhash64("set_id", F.lit(1)), "pages")), "rows")
+    columns = ["group", "set_id", "root", "signature", F.coalesce("part", F.lit(-1)).alias("part")]
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n)
+    lefts = rows.where("left").select(
+        *columns, F.lit(True).alias("left"), F.col("part").alias("p"), F.explode(upto(F.col("pages") - 1)).alias("q")
+    )
+    rights = rows.where("right").select(
+        *columns, F.lit(False).alias("left"), F.explode(upto(F.coalesce("part", F.col("parts") - 1))).alias("p"), F.col("page").alias("q")
+    )
+    return lefts.unionByName(rights).groupBy("group", "p", "q").applyInPandas(
+        lambda frame: _block(frame, least), "a long, b long"
+    )
+
+
+def _across(placed: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
+    """Promising pairs of different components that share a bucket.
+
+    The members outside a bucket's largest component, its guests, are compared
+    with that whole component, once for all buckets, and with the guests of
+    the same bucket that are in other components.
+    """
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("home"), F.sum("n").alias("n"))
+    sizes = materialize(sizes.where("n > home.n").select("bucket", F.col("home.root").alias("home"), F.expr("n - home.n").alias("guests")), "mixed")
+    guests = materialize(placed.join(sizes, "bucket").where("root <> home"), "guests")
+    signed = classes.select("set_id", "signature")
+
+    visits = guests.select(F.col("home").alias("group"), "set_id", "root").distinct()
+    homes = guests.select(F.col("home").alias("group")).distinct()
+    nodes = placed.select("set_id", "root").distinct()
+    hosts = nodes.join(homes, nodes["root"] == homes["group"]).select("group", "set_id", "root")
+    rows = visits.withColumn("left", F.lit(True)).unionByName(hosts.withColumn("left", F.lit(False)))
+    rows = materialize(rows.withColumn("right", ~F.col("left")).join(signed, "set_id"), "visits")
+    found = _blocks(rows, least)
+
+    small = materialize(guests.where(f"guests between 2 and {SMALL_BUCKET}"), "small").select("bucket", "set_id", "root")
+    left, right = small.toDF("bucket", "a", "ra"), small.toDF("bucket", "b", "rb")
+    pairs = left.join(right, "bucket").where("ra < rb").select("a", "b").distinct()
+    few = _promising_pairs(pairs, classes, least)
+
+    large = guests.where(f"guests > {SMALL_BUCKET}").select(
+        F.col("bucket").alias("group"), "set_id", "root", F.lit(True).alias("left"), F.lit(True).alias("right")
+    )
+    many = _blocks(materialize(large.join(signed, "set_id"), "large"), least)
+    found = found.unionByName(few).unionByName(many)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _confirmed(alive: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the promising pairs whose shingle sets reach the threshold."""
     wanted = alive.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = materialize(wanted.join(classes.select("set_id", "doc_id"), "set_id"), "wanted")
     ids = wanted.select("doc_id").distinct()
     texts = docs.join(checked(materialize(ids, "wanted"), 24), "doc_id")
     sets = texts.mapInPandas(partial(_sets, size=size), "set_id long, shingles array<long>")
     # a repeated doc_id may bring other texts along
-    sets = materialize(sets.join(wanted.select("set_id"), "set_id", "left_semi"), "sets")
-    sets = sets.dropDuplicates(["set_id"])
+    sets = sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    sets = materialize(sets, "sets")
     both = alive.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
@@ -143,7 +232,7 @@ def near_duplicates(
     text_col: str = "text",
     size: int = 5,
     percent: int = 80,
-    miss: float = 1e-7,
+    miss: float = 1e-4,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row.
 
@@ -172,19 +261,17 @@ def near_duplicates(
     shared = materialize(shared.where("n > 1").select("bucket", "a"), "buckets")
     members = materialize(buckets.join(shared, "bucket"), "members")
     pairs = members.where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
-    near = _linked(pairs, classes, docs, size, percent, miss)
+    least = least_matches(percent, miss)
+    alive = materialize(_promising_pairs(pairs, classes, least), "alive")
+    near = _confirmed(alive, classes, docs, size, percent)
     roots = materialize(components(near), "roots")
 
     placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = materialize(
         placed.select("bucket", "set_id", F.coalesce("root", "set_id").alias("root")), "placed"
     )
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = materialize(mixed.where("lo <> hi").select("bucket"), "mixed")
-    open_ = materialize(placed.join(mixed, "bucket", "left_semi"), "open")
-    left, right = open_.toDF("bucket", "a", "ra"), open_.toDF("bucket", "b", "rb")
-    rest = left.join(right, "bucket").where("ra < rb").select("a", "b").distinct()
-    more = _linked(rest, classes, docs, size, percent, miss)
+    alive = materialize(_across(placed, classes, least), "alive")
+    more = _confirmed(alive, classes, docs, size, percent)
     if not more.isEmpty():
         roots = materialize(components(near.unionByName(more)), "roots")
 

@@ -66,5 +66,13 @@ def test_repeated_rows_and_empty_table(spark):
 
 
 def test_pruning_keeps_close_pairs():
-    least = minhash.least_matches(80, 1e-7)
-    assert len(least) == 4 and all(0 < m < 0.8 * 32 * (k + 1) for k, m in enumerate(least))
+    least = minhash.least_matches(80, 1e-4)
+    assert len(least) == 4 and all(0 < m < 0.8 * 64 * (k + 1) for k, m in enumerate(least))
+
+
+def test_blocks_do_not_change_the_result(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minhash, "LEFT_BLOCK", 3)
+    monkeypatch.setattr(minhash, "RIGHT_BLOCK", 5)
+    rows = corpus(120, seed=8)
+    assert ours(spark, rows, size=2) == brute(rows, 2, 80)
