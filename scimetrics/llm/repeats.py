@@ -76,28 +76,34 @@ RUNS = "doc_id long, copy long, start int, n int, anchor long, key long"
 def _units(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     """Keys to compare per document: whole runs, or single windows where runs differ; and the text."""
     for batch in batches:
-        for doc_id, copy, text, found in zip(batch["doc_id"], batch["copy"], batch["text"], batch["runs"]):
-            hashes = read_words([text]).hashes
-            keys = runs(hashes, window).view(np.int64)
-            start, n, key = [], [], []
-            for r in found:
-                if r["mixed"]:
-                    at = np.arange(r["start"], r["start"] + r["n"])
-                    start.append(at)
-                    n.append(np.ones(len(at), np.int64))
-                    key.append(keys[at])
-                else:
-                    start.append([r["start"]])
-                    n.append([r["n"]])
-                    key.append([r["key"]])
+        for part in text_slices(batch["text"].tolist()):
+            rows = batch.iloc[part]
+            words = read_words(rows["text"].tolist())
+            starts, sizes, keys = [], [], []
+            for i, found in enumerate(rows["runs"]):
+                windows = runs(words.hashes[words.of(i)], window).view(np.int64)
+                start, n, key = [], [], []
+                for r in found:
+                    if r["mixed"]:
+                        at = range(r["start"], r["start"] + r["n"])
+                        start += at
+                        n += [1] * len(at)
+                        key += windows[at.start : at.stop].tolist()
+                    else:
+                        start.append(r["start"])
+                        n.append(r["n"])
+                        key.append(r["key"])
+                starts.append(start)
+                sizes.append(n)
+                keys.append(key)
             yield pd.DataFrame(
                 {
-                    "doc_id": [doc_id],
-                    "copy": [copy],
-                    "start": [np.concatenate(start).astype(np.int32)],
-                    "n": [np.concatenate(n).astype(np.int32)],
-                    "key": [np.concatenate(key).astype(np.int64)],
-                    "body": [zlib.compress(text.encode(), 1)],
+                    "doc_id": rows["doc_id"].array,
+                    "copy": rows["copy"].array,
+                    "start": starts,
+                    "n": sizes,
+                    "key": keys,
+                    "body": [zlib.compress(t.encode(), 1) for t in rows["text"]],
                 }
             )
 
@@ -108,8 +114,9 @@ UNITS = "doc_id long, copy long, start array<int>, n array<int>, key array<long>
 def _segments(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     """Claims of a document that go on in the same owner, as segments of bounded length."""
     for batch in batches:
-        for doc_id, copy, claims in zip(batch["doc_id"], batch["copy"], batch["claims"]):
-            rows: list[list[int]] = []
+        found = []
+        for doc_id, copy, claims in zip(batch["doc_id"].tolist(), batch["copy"].tolist(), batch["claims"]):
+            rows: list[list] = []
             for c in claims:
                 start, n, owner = c["start"], c["n"], (c["owner"], c["owner_copy"], c["owner_start"] - c["start"])
                 last = rows[-1] if rows else None
@@ -122,10 +129,10 @@ def _segments(batches: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataF
                     last[1] = max(last[1], start + n)
                 else:
                     rows.append([start, start + n, owner])
-            yield pd.DataFrame(
-                [(doc_id, copy, a, b - a + window - 1, o[0], o[1], a + o[2]) for a, b, o in rows],
-                columns=["doc_id", "copy", "start", "size", "owner", "owner_copy", "owner_start"],
-            )
+            found += [(doc_id, copy, a, b - a + window - 1, o[0], o[1], a + o[2]) for a, b, o in rows]
+        yield pd.DataFrame(
+            found, columns=["doc_id", "copy", "start", "size", "owner", "owner_copy", "owner_start"]
+        )
 
 
 SEGMENTS = "doc_id long, copy long, start int, size int, owner long, owner_copy long, owner_start int"
