@@ -127,15 +127,38 @@ class Chain:
         return p
 
 
+def _hashes(names: list[str]) -> np.ndarray:
+    if not names:
+        return np.empty(0, np.int64)
+    return pd.util.hash_array(np.array(names, dtype=object), categorize=False).view(np.int64)
+
+
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        sets = [sorted(features(t)) for t in batch["text"]]
-        hashes = [
-            pd.util.hash_array(np.array(s, dtype=object), categorize=False).view(np.int64)
-            if s else np.empty(0, np.int64)
-            for s in sets
-        ]
-        yield batch.drop(columns="text").assign(features=hashes)
+        yield batch.assign(features=[_hashes(sorted(features(t))) for t in batch["text"]]).drop(columns="text")
+
+
+def _associated(hashed: DataFrame, names: list[str]) -> list[int]:
+    """The features most associated with any category, at most 2 * MOST_FEATURES of each.
+
+    Counted in Spark, so that the driver sees no more than these.
+    """
+    totals = hashed.agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names]).first()
+    counts = (
+        hashed.select(F.explode("features").alias("feature"), *names)
+        .groupBy("feature")
+        .agg(F.count("*").alias("_n"), *[F.sum(n).alias(n) for n in names])
+        .where(F.col("_n") >= LEAST_DOCUMENTS)
+    )
+    counts = materialize(counts, "features")
+    found: set[int] = set()
+    for name in names:
+        with_, without = F.col(name) + 0.5, F.col("_n") - F.col(name) + 0.5
+        rate = F.log(with_ / (totals[name] + 1.0)) - F.log(without / (totals["n"] - totals[name] + 1.0))
+        z = F.abs(rate) / F.sqrt(1 / with_ + 1 / without)
+        best = counts.select("feature", z.alias("z")).orderBy(F.desc("z"), "feature").limit(2 * MOST_FEATURES)
+        found |= {r["feature"] for r in best.collect()}
+    return sorted(found)
 
 
 def train(
@@ -166,46 +189,35 @@ def train(
         "text",
     )
     rows = materialize(rows, "labelled")
+    if rows.isEmpty():
+        nothing = [Linear(np.empty(0, int), np.empty(0), np.zeros(k), 0.0) for k in range(len(names))]
+        return Chain(names, {}, nothing)
     flags = ", ".join(f"`{n}` int" for n in names)
     hashed = rows.mapInPandas(_hashed, f"doc_id long, fold int, {flags}, features array<long>")
-    sample = hashed.toPandas()
-    if sample.empty:
-        return Chain(names, {}, [Linear(np.empty(0, int), np.empty(0), np.zeros(k), 0.0) for k in range(len(names))])
-    sample = sample.sort_values(["doc_id", *names], kind="stable")
-    counts = sample["features"].map(len)
-    flat = np.concatenate([np.asarray(f, np.int64) for f in sample["features"]])
-    known, place, support = np.unique(flat, return_inverse=True, return_counts=True)
-    frequent = np.flatnonzero(support >= LEAST_DOCUMENTS)
-    # a feature of almost every document or of very few says nothing
-    y = sample[names].to_numpy(np.float64)
-    doc = np.repeat(np.arange(len(sample)), counts)
-    useful = np.zeros(len(known), bool)
-    for k in range(len(names)):
-        n1 = y[:, k].sum()
-        c1 = np.bincount(place, weights=y[doc, k], minlength=len(known))
-        rate, base = (c1 + 0.5) / (n1 + 1), (support - c1 + 0.5) / (len(y) - n1 + 1)
-        z = np.abs(np.log(rate / base)) / np.sqrt(1 / (c1 + 0.5) + 1 / (support - c1 + 0.5))
-        best = frequent[np.argsort(-z[frequent], kind="stable")[: 3 * MOST_FEATURES]]
-        useful[best] = True
-    column = np.cumsum(useful) - 1
-    x = np.zeros((len(sample), int(useful.sum())), np.float32)
-    inside = useful[place]
-    x[doc[inside], column[place[inside]]] = 1
-    models = fit_chain(x, y, sample["fold"].to_numpy())
-
-    wanted = set(known[useful].tolist())
-    position = dict(zip(known[useful].tolist(), range(x.shape[1])))
+    useful = np.array(_associated(materialize(hashed, "hashed"), names), np.int64)
+
+    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(useful, _hashes(list(features(t))))) for t in batch["text"]]
+            yield batch.assign(columns=found).drop(columns="text")
 
     def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names_ = sorted(set().union(*[features(t) for t in batch["text"]]))
-            if names_:
-                hashes = pd.util.hash_array(np.array(names_, dtype=object), categorize=False).view(np.int64)
-                out = pd.DataFrame({"hash": hashes, "name": names_})
-                yield out[out["hash"].isin(wanted)]
-
-    found = rows.select("text").mapInPandas(spelled, "hash long, name string").distinct().toPandas()
-    words = {name: position[h] for h, name in zip(found["hash"].tolist(), found["name"])}
+            every = sorted(set().union(*[features(t) for t in batch["text"]]))
+            hashes = _hashes(every)
+            place = np.minimum(np.searchsorted(useful, hashes), max(len(useful) - 1, 0))
+            hit = np.flatnonzero(useful[place] == hashes) if len(useful) else []
+            if len(hit):
+                yield pd.DataFrame({"name": [every[i] for i in hit], "position": place[hit]})
+
+    sample = rows.mapInPandas(sparse, f"doc_id long, fold int, {flags}, columns array<long>").toPandas()
+    sample = sample.sort_values(["doc_id", *names], kind="stable")
+    x = np.zeros((len(sample), len(useful)), np.float32)
+    for i, columns in enumerate(sample["columns"]):
+        x[i, np.asarray(columns, np.int64)] = 1
+    models = fit_chain(x, sample[names].to_numpy(np.float64), sample["fold"].to_numpy())
+    found = rows.select("text").mapInPandas(spelled, "name string, position long").distinct().toPandas()
+    words = dict(zip(found["name"], found["position"].tolist()))
     return Chain(names, words, models)
 
 
