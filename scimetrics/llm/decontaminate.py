@@ -27,7 +27,7 @@ DISTANCE = 0.10
 #: Share of an item's adjacent word pairs that a passage keeps.
 INTACT_PAIRS = 0.40
 WALKS, TABLES, SAMPLED, STEPS_PER_WORD = 3, 16, 7, 10
-FILTER_BITS = 24
+KEY_BITS, PAIR_BITS = 24, 20
 
 
 def _walk_bits(steps: int) -> np.ndarray:
@@ -123,26 +123,53 @@ def _item_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _slots(column: str) -> F.Column:
-    return F.col(column).bitwiseAND((1 << FILTER_BITS) - 1)
+def _slot(column: str, bits: int) -> F.Column:
+    return F.col(column).bitwiseAND((1 << bits) - 1)
 
 
-def _bitmap(items: DataFrame, column: str) -> np.ndarray:
-    """Bit set of the low bits of all values, at most 2^FILTER_BITS of them."""
-    found = items.select(F.explode(column).alias("v")).select(_slots("v").alias("slot")).distinct()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in found.toLocalIterator():
-        bits[batch["slot"]] = True
+def _key_filter(items: DataFrame) -> np.ndarray:
+    """Bit set of the low bits of all item keys, 2^KEY_BITS bits."""
+    found = items.select(F.explode("keys").alias("key")).select(_slot("key", KEY_BITS).alias("slot"))
+    bits = np.zeros(1 << KEY_BITS, bool)
+    for row in found.distinct().toLocalIterator():
+        bits[row["slot"]] = True
     return np.packbits(bits)
 
 
+def _pair_filter(items: DataFrame, lengths: list[int]) -> np.ndarray:
+    """For the low bits of every word pair the lengths of its items, as 64 bits; 2^PAIR_BITS entries.
+
+    More than 64 lengths share bits, which lets more windows pass and loses none.
+    """
+    group = {n: np.uint64(i % 64) for i, n in enumerate(lengths)}
+    found = items.select("words", F.explode("pairs").alias("pair"))
+    found = found.select(_slot("pair", PAIR_BITS).alias("slot"), "words").distinct()
+    masks = np.zeros(1 << PAIR_BITS, np.uint64)
+    for row in found.toLocalIterator():
+        masks[row["slot"]] |= np.uint64(1) << group[row["words"]]
+    return masks
+
+
 def _has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = (values & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    slot = (values & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
     return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 > 0
 
 
+def _starts(at: np.ndarray, n: int, count: int) -> np.ndarray:
+    """Starts of the windows of n words that hold enough of the word pairs at the sorted places ``at``."""
+    k = needed_pairs(n)
+    if len(at) < k or count < n:
+        return np.empty(0, np.int64)
+    first, last = at[: len(at) - k + 1], at[k - 1 :]
+    near = np.flatnonzero(last - first <= n - 2)
+    low, high = np.maximum(last[near] - (n - 2), 0), np.minimum(first[near], count - n)
+    size = np.maximum(high - low + 1, 0)
+    shift = np.repeat(low - (np.cumsum(size) - size), size)
+    return np.unique(shift + np.arange(len(shift)))
+
+
 def _windows(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
-    pair_bits, key_bits, lengths = shared.value
+    pair_masks, key_bits, lengths = shared.value
     for batch in batches:
         for part in text_slices(batch["text"].tolist(), 4_000_000):
             words = read_words(batch["text"].tolist()[part], lower=True)
@@ -150,16 +177,16 @@ def _windows(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
             if count < 2:
                 continue
             text = np.searchsorted(words.first, np.arange(count), "right") - 1
-            hit = _has(pair_bits, runs(words.hashes, 2)) & (text[1:] == text[:-1])
-            hits = np.concatenate([[0], np.cumsum(hit)])
+            mask = pair_masks[(runs(words.hashes, 2) & np.uint64((1 << PAIR_BITS) - 1)).astype(np.int64)]
+            mask[text[1:] != text[:-1]] = 0
+            some = np.flatnonzero(mask)
+            mask = mask[some]
             starts, sizes = [], []
-            for n in lengths:
-                if n <= count:
-                    inside = hits[n - 1 :] - hits[: count - n + 1]
-                    at = np.flatnonzero(inside >= needed_pairs(n))
-                    at = at[text[at] == text[at + n - 1]]
-                    starts.append(at)
-                    sizes.append(np.full(len(at), n))
+            for i, n in enumerate(lengths):
+                at = _starts(some[(mask >> np.uint64(i % 64)) & np.uint64(1) > 0], n, count)
+                at = at[text[at] == text[at + n - 1]]
+                starts.append(at)
+                sizes.append(np.full(len(at), n))
             if not starts:
                 continue
             starts, sizes = np.concatenate(starts), np.concatenate(sizes)
@@ -200,7 +227,7 @@ def contaminated(
     Items of fewer than two words, null texts and rows without an id match
     nothing; the passages of rows that repeat a doc_id are taken together.
     Other columns are ignored; an empty table on either side gives an empty
-    result. Tasks get two bit sets of fixed size and the distinct item lengths;
+    result. Tasks get two filters of fixed size and the distinct item lengths;
     items meet documents in a join.
     """
     spark = df.sparkSession
@@ -212,7 +239,7 @@ def contaminated(
         "items",
     )
     lengths = sorted(r["words"] for r in items.select("words").distinct().toLocalIterator())
-    shared = spark.sparkContext.broadcast((_bitmap(items, "pairs"), _bitmap(items, "keys"), lengths))
+    shared = spark.sparkContext.broadcast((_pair_filter(items, lengths), _key_filter(items), lengths))
     docs = df.select(*id_columns(id_col), F.coalesce(text_col, F.lit("")).alias("text")).where("not no_id")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,13 +250,18 @@ def contaminated(
     known = items.select("item_id", "item", F.col("words").alias("size"), F.explode("keys").alias("key"))
     known = checked(materialize(known, "item-keys"), 600)
     pairs = found.join(known, "key").where("words = size").drop("key", "size").distinct()
+    pairs = materialize(pairs, "pairs")
+    # an equal passage is the best one, so its pair needs no distances
+    exact = pairs.where("item = passage").groupBy("doc_id", "item_id").agg(
+        F.min(F.struct(F.lit(0).alias("edits"), "word", "words")).alias("best")
+    )
+    exact = materialize(exact, "exact")
     most = F.floor(F.length("item") * F.lit(distance)).cast("int")
-    edits = F.expr("levenshtein(item, passage, most)")
-    return (
-        pairs.withColumn("most", most)
-        .withColumn("edits", edits)
-        .where("edits >= 0")
-        .groupBy("doc_id", "item_id")
-        .agg(F.min(F.struct("edits", "word", "words")).alias("best"))
-        .select("doc_id", "item_id", "best.edits", "best.word", "best.words")
+    open_ = pairs.join(exact.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_anti")
+    # exploded, so that the filter does not compute the distance again
+    edits = F.explode(F.array(F.expr("levenshtein(item, passage, most)"))).alias("edits")
+    near = open_.withColumn("most", most).select("doc_id", "item_id", "word", "words", edits)
+    near = near.where("edits >= 0").groupBy("doc_id", "item_id").agg(
+        F.min(F.struct("edits", "word", "words")).alias("best")
     )
+    return exact.unionByName(near).select("doc_id", "item_id", "best.edits", "best.word", "best.words")
