@@ -288,7 +288,7 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = read_words(batch["text"].tolist()[part], lower=True)
             normal = normalised(words)
             first, last = words.first[:-1], words.first[1:]
-            some = np.flatnonzero(last - first >= 2)
+            some = np.flatnonzero(last > first)
             if not len(some):
                 continue
             begin, end = normal.start[first[some]], normal.end[last[some] - 1]
@@ -372,7 +372,7 @@ def contaminated(
     edit distance is at most ``distance`` of the item's characters. ``word`` is
     the word in which it begins, from 0, and ``words`` how many it touches.
 
-    Items of fewer than two words, null texts and rows without an id match nothing; the passages
+    Empty items, null texts and rows without an id match nothing; the passages
     of rows that repeat a doc_id are taken together. Other columns are ignored;
     an empty table on either side gives an empty result. Items go to the tasks
     in batches of bounded size; documents are read once per batch.

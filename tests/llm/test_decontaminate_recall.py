@@ -81,3 +81,20 @@ def test_no_passage_within_the_limit_is_filtered_out(kind):
     found = decontaminate.candidates(data, bounds, index)
     want = within_limit(items, docs)
     assert len(want) >= 10 and want <= set(zip(found["text"], found["item"]))
+
+
+def test_joined_dropped_and_inserted_words_are_found(spark):
+    items, docs = planted(["joined", "dropped", "inserted"])
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, benchmark).collect()}
+    want = within_limit(items, docs)
+    assert got == want and len(want) >= 50
+
+
+def test_items_without_blanks_are_found(spark):
+    passage = "春眠不覺曉處處聞啼鳥夜來風雨聲花落知多少"
+    docs = [(1, f"前文{passage}後文"), (2, f"前文{passage.replace('聞', '')}後文"), (3, "前文後文" * 9), (4, "Word."), (5, "wor d")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, passage), (2, "word")], "item_id long, text string")
+    rows = decontaminate.contaminated(df, benchmark).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, 0, 0, 1), (2, 1, 1, 0, 1), (4, 2, 0, 0, 1)]
