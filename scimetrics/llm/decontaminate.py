@@ -29,13 +29,23 @@ DISTANCE = 0.10
 INTACT_PAIRS = 0.40
 #: Characters of a shared run, less for short items.
 RUN = 8
-#: Steps of a walk per character: half of them move on, so about the end is reached.
-STEPS_PER_CHAR = 2
-WALKS, TABLES, SAMPLED = 3, 16, 3
+#: Steps of a walk per character: half of them move on, so the end is reached with steps to spare.
+STEPS_PER_CHAR = 3
+WALKS, SAMPLED = 3, 3
+#: Chance that a window at the edit limit shares a key, if it agrees in this share of the steps.
+TARGET_RECALL, AGREEMENT = 0.999, 0.40
 #: Characters and keys of the items that tasks hold at a time.
 BATCH = 4_000_000
 
 
+def tables_for(recall: float, agreement: float) -> int:
+    """Tables of a walk so that WALKS walks find a window with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - agreement**SAMPLED) / WALKS)
+
+
+TABLES = tables_for(TARGET_RECALL, AGREEMENT)
+
+
 def _samples(n: int) -> np.ndarray:
     """Sampled steps of the items of size n: (WALKS, TABLES, SAMPLED)."""
     return np.random.default_rng([82, n]).integers(0, STEPS_PER_CHAR * n, (WALKS, TABLES, SAMPLED))

@@ -98,3 +98,19 @@ def test_items_without_blanks_are_found(spark):
     benchmark = spark.createDataFrame([(1, passage), (2, "word")], "item_id long, text string")
     rows = decontaminate.contaminated(df, benchmark).collect()
     assert sorted(map(tuple, rows)) == [(1, 1, 0, 0, 1), (2, 1, 1, 0, 1), (4, 2, 0, 0, 1)]
+
+
+def test_the_walk_reads_the_item_to_its_end():
+    text = "ñandúñandúñandú " * 3
+    data = np.frombuffer((text + text[:-2] + "x ").encode("utf-32-le"), np.uint32)
+    n = len(text)
+    keys = decontaminate.cgk_keys(data, np.array([0, n]), np.array([n - 1, 2 * n - 1]), np.array([n - 1] * 2))
+    assert (keys[0] != keys[1]).any()
+
+
+def test_recall_of_the_whole_chain_at_the_edit_limit(spark):
+    items, docs = planted(["letters", "indels", "front"], seed=4)
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, benchmark).collect()}
+    want = within_limit(items, docs)
+    assert got <= want and len(want) >= 40 and len(got) >= 0.99 * len(want)
