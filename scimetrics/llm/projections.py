@@ -8,6 +8,7 @@ united over all passes. Link counts are then exact within every component.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,8 +20,25 @@ from pyspark.sql import functions as F
 from scimetrics.llm.tables import components
 from scimetrics.session import materialize
 
+#: Fewest passes; large labels take more, see ``passes_for``.
 PASSES, WINDOW, BLOCK, BITS = 12, 32, 2048, 62
 COUNT_BLOCK = 512
+#: Largest expected share of the pairs at the cosine limit that meet in no pass.
+MISS = 0.01
+
+
+def passes_for(n: int, cosine: float, window: int) -> int:
+    """Passes over a label of ``n`` vectors for an expected miss of MISS at ``cosine``.
+
+    Two vectors meet once they share so many leading bits that about ``window``
+    vectors of the label share them too; a bit differs with probability angle
+    / pi. This takes the label to be spread evenly over the bits.
+    """
+    differs = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    meet = (1 - differs) ** max(0.0, math.log2(max(n, 1) / window))
+    if meet == 1:
+        return PASSES
+    return max(PASSES, math.ceil(math.log(MISS) / math.log(1 - meet)))
 
 
 def _usable(vector: Column) -> Column:
@@ -108,7 +126,7 @@ def _counted(frame: pd.DataFrame, cosine: float) -> pd.DataFrame:
 def near_vectors(
     df: DataFrame,
     cosine: float = 0.93,
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -119,7 +137,8 @@ def near_vectors(
     Vectors link when their labels are equal and not null and their cosine, in
     double precision, is at least ``cosine``. Equal vectors form one class
     first. The passes find components; the links inside a component are then
-    counted exactly, block against block.
+    counted exactly, block against block. Without ``passes`` their number
+    follows the largest label (``passes_for``).
 
     Vectors that are null, empty, zero, or hold null or non-finite values link
     with nothing, nor do vectors of different length or rows without vec_id
@@ -140,6 +159,9 @@ def near_vectors(
     bodies = valid.select("class", "label", "vector").dropDuplicates(["class"])
     classes = materialize(classes.join(bodies, "class"), "vectors")
 
+    if passes is None:
+        largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+        passes = passes_for(largest, cosine, window)
     label = dict(df.dtypes)[label_col]
     schema = f"pass int, label {label}, dim int, key long, class long, unit binary"
     keyed = classes.select("class", "label", "vector").mapInPandas(partial(_keys, passes=passes), schema)

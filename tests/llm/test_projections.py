@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from scimetrics.llm import projections
 
@@ -64,3 +65,19 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert projections.near_vectors(df).collect() == []
+
+
+def test_recall_near_the_limit_in_one_large_label(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    n, pairs, cosine = 100_000, 1000, 0.932
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, 64))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([x, cosine * x[:pairs] + np.sqrt(1 - cosine**2) * side])
+    pd.DataFrame({"vec_id": np.arange(n + pairs), "embedding": list(x), "label": 0}).to_parquet(tmp_path / "v.parquet")
+    got = projections.near_vectors(spark.read.parquet(str(tmp_path / "v.parquet"))).where("n_links > 0")
+    met = {r.vec_id for r in got.where(f"vec_id >= {n} and component_id = vec_id - {n}").collect()}
+    # three standard deviations of a thousand pairs under the stated bound
+    assert len(met) >= (1 - projections.MISS) * pairs - 3 * np.sqrt(pairs * projections.MISS)
