@@ -11,17 +11,22 @@ from scimetrics.llm import (
     bpe,
     decontaminate,
     minhash,
+    periods,
     pii,
     projections,
     repeats,
     secrets,
     templates,
+    tokenfiles,
     toxicity,
     warc,
+    whitening,
 )
 from scimetrics.llm.statements import STATEMENTS as STATEMENTS
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_ID = 2
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +79,21 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(docs, pii.train(docs)))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.component_rows(whitening.whiten(_table(spark, folder, "embeddings")))
+
+
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periods.with_planted_runs(_table(spark, folder, "documents"))
+    return periods.digests(periods.periodic_runs(docs))
+
+
+def op13_tokenfiles(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    found = tokenfiles.token_files(docs, BYTE_VOCABULARY, end_id=END_ID)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
@@ -85,5 +105,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
     "op10_pii": op10_pii,
+    "op11_whitening": op11_whitening,
+    "op12_periods": op12_periods,
+    "op13_tokenfiles": op13_tokenfiles,
     "pipeline": corpus_pipeline.run,
 }
