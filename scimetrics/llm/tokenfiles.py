@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -30,17 +31,22 @@ from scimetrics.session import materialize, new_path
 SHARD_TOKENS = 1 << 21
 KNOWN_PIECES = 1_000_000
 JOINED_PIECES = 5_000
-# a byte-level piece never goes on over a blank that a visible character follows
+# a byte-level pre-token never goes on over a blank that a visible character follows
 _CUT = re.compile(r"(?= \S)")
+_OTHER_BLANKS = re.compile(r" (?=\s|\Z)")
+# nor from a letter to a mark, nor over a single line feed between them
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)(?:\n([{_LETTERS}]+)([.,;:!?]*))?")
 
 
 class Encoder:
     """Ids of whole texts, each distinct stretch between blanks going to the tokenizer once.
 
-    Made for byte-level BPE: the cut lies between two pre-tokens of any text, and
-    a token's length in bytes is that of its spelling, which tells the ids of
-    many stretches apart after they were encoded as one text. Added tokens with
-    a spelling that holds a blank would not survive the cut and are refused.
+    Made for byte-level BPE: the cuts lie between two pre-tokens of any text. A
+    stretch of letters is one pre-token and goes to the tokenizer's model alone;
+    other stretches are encoded as one text, and the ids of each are told apart by
+    the bytes that its tokens spell. Added tokens with a spelling that a cut could
+    divide are refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,50 +54,105 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        if not isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+        split = self.tokenizer.pre_tokenizer
+        if not isinstance(split, pre_tokenizers.ByteLevel):
             raise ValueError("a byte-level tokenizer is needed")
         size = self.tokenizer.get_vocab_size()
         spelled = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = np.array([len(s) for s in spelled], np.int64)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            if " " in token.content or token.lstrip or token.rstrip:
-                raise ValueError(f"the added token {token.content!r} reaches over a blank")
+            if re.search(r"[\s.,;:!?]", token.content) or token.lstrip or token.rstrip or token.content.isalpha():
+                raise ValueError(f"the added token {token.content!r} could be divided")
             self.bytes[i] = len(token.content.encode())
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), JOINED_PIECES):
-            part = pieces[at : at + JOINED_PIECES]
-            coded = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0]
-            ids = np.array(coded.ids, np.int64)
-            ends = np.cumsum(self.bytes[ids])
-            size = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in part])
-            cuts = np.searchsorted(ends, size)
-            if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], size):
-                raise ValueError("a token reaches over a blank")
-            raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-            bounds = [0, *((cuts + 1) * width).tolist()]
-            self.known.update(zip(part, [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]))
+        self.code = np.dtype(self.kind).char
+        self.model = self.tokenizer.model
+        letters = [c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c)]
+        # the spelling of each letter, of a blank and of a line feed in the vocabulary
+        self.spelling = {ord(c): split.pre_tokenize_str(c)[0][0] for c in letters}
+        self.blank = split.pre_tokenize_str(" ")[0][0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.after: dict[str, bytes] = {"": b""}  # of stretches behind a blank, which is encoded with them
+        self.first: dict[str, bytes] = {"": b""}  # of stretches without one
+
+    def _letters(self, word: str, known: dict[str, bytes]) -> bytes:
+        """Ids of one pre-token of letters, with a blank before it or not."""
+        if word not in known:
+            spelled = word.translate(self.spelling)
+            found = self.model.tokenize(self.blank + spelled if known is self.after else spelled)
+            known[word] = array(self.code, [t.id for t in found]).tobytes()
+        return known[word]
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.first:
+            ids = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            self.first[marks] = np.array(ids, self.kind).tobytes()
+        return self.first[marks]
+
+    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
+        odd, lead = [], self.blank if known is self.after else ""
+        tokenize, code = self.model.tokenize, self.code
+        for piece in pieces:
+            if piece.isascii() and piece.isalpha():
+                # such letters spell themselves
+                known[piece] = array(code, [t.id for t in tokenize(lead + piece)]).tobytes()
+                continue
+            plain = _PLAIN.fullmatch(piece)
+            if plain is None:
+                odd.append(piece)
+                continue
+            word, marks, second, more = plain.groups()
+            ids = self._letters(word, known)
+            if marks:
+                ids += self._marks(marks)
+            if second:
+                ids += self._marks("\n") + self._letters(second, self.first)
+                if more:
+                    ids += self._marks(more)
+            known[piece] = ids
+        for at in range(0, len(odd), JOINED_PIECES):
+            part = odd[at : at + JOINED_PIECES]
+            if known is self.after:
+                known.update(zip(part, self._joined(part)))
+            else:
+                coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+                known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, coded))
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of the pieces, each behind a blank, from encoding them as one text."""
+        text = "".join([f" {p}" for p in pieces])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.bytes[ids])
+        size = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        cuts = np.searchsorted(ends, size)
+        if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], size):
+            raise ValueError("a token reaches over a blank")
+        raw = ids.astype(self.kind).tobytes()
+        bounds = [0, *((cuts + 1) * np.dtype(self.kind).itemsize).tolist()]
+        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as packed numbers of ``kind``."""
-        cut = [_CUT.split(t) for t in texts]
-        if len(self.known) > KNOWN_PIECES:
-            self.known.clear()
-        # a first stretch may begin without a blank and is encoded alone
-        first = dict.fromkeys(c[0] for c in cut if c[0] and not c[0].startswith(" "))
+        if len(self.after) + len(self.first) > KNOWN_PIECES:
+            self._forget()
+        first, rest = [], []
+        for text in texts:
+            if _OTHER_BLANKS.search(text):
+                head, *tail = _CUT.split(text)
+                tail = [p[1:] for p in tail]
+            else:
+                head, *tail = text.split(" ")
+            first.append(head)
+            rest.append(tail)
         fresh: set[str] = set()
-        for c in cut:
-            fresh.update(c[1:] if c[0] in first or not c[0] else c)
-        self._learn([p for p in fresh if p not in self.known])
-        alone = [p for p in first if p not in self.known]
-        for at in range(0, len(alone), JOINED_PIECES):
-            part = alone[at : at + JOINED_PIECES]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, coded))
-        self.known[""] = b""
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for tail in rest:
+            fresh.update(tail)
+        self._learn([p for p in fresh if p not in self.after], self.after)
+        self._learn([p for p in dict.fromkeys(first) if p not in self.first], self.first)
+        known = self.after.__getitem__
+        return [self.first[head] + b"".join(map(known, tail)) for head, tail in zip(first, rest)]
 
 
 @lru_cache(maxsize=2)
