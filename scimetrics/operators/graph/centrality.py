@@ -16,7 +16,7 @@ HUB_ROWS = 1_000_000
 MOST_ROUNDS = 20_000
 
 
-def _split_hubs(network: Network, flow: DataFrame) -> DataFrame:
+def split_hubs(network: Network, flow: DataFrame) -> DataFrame:
     """Neighbour table cut so that no join key has more than about ``HUB_ROWS`` rows.
 
     ``part`` spreads the rows of a vertex over its parts, ``parts`` is the number
@@ -80,7 +80,7 @@ def _iterate(
     both the plan and the recomputation after a lost executor. The neighbour
     table is kept partitioned by the key that every round joins on.
     """
-    flow = _split_hubs(network, flow)
+    flow = split_hubs(network, flow)
     placing = ["cell", "src"]
     if "part" in flow.columns:
         placing.append("part")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scimetrics.functions.expressions import pair_share
 from scimetrics.functions.periods import PERIOD_MODES
 from scimetrics.operators.graph import centrality, paths, structure, weighted_paths
+from scimetrics.operators.graph.communities import communities
 from scimetrics.operators.graph.network import CELL, VERTEX, Network, build_network, incidences
 from scimetrics.operators.joins import join_na
 from scimetrics.session import materialize
@@ -85,7 +86,7 @@ def vertex_metrics(network: Network) -> DataFrame:
         centrality.pagerank(network),
         centrality.hub_scores(network),
         structure.clustering(network),
-        structure.communities(network),
+        communities(network),
     ]
     return reduce(lambda a, b: a.join(b, VERTEX), tables)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scimetrics.functions import periods
 from scimetrics.operators.graph import centrality, paths, structure
+from scimetrics.operators.graph.communities import communities
 from scimetrics.operators.graph.network import VERTEX, Network, build_network
 from scimetrics.operators.reshape import complete, repeat_rows
 from scimetrics.plans import (
@@ -168,7 +169,7 @@ DATASETS: dict[str, Callable[[Inputs], DataFrame]] = {
     "net_hits": _graph(
         lambda net: centrality.hub_scores(net, rounds=20), "hub", "authority"
     ),
-    "net_community": _graph(structure.communities),
+    "net_community": _graph(communities),
     "net_closeness": _graph(
         lambda net: paths.closeness_of(paths.reach(net)), "closeness", "closeness_norm"
     ),
