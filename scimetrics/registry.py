@@ -91,10 +91,12 @@ def _edges(d: Inputs, period_mode: str = "first_year") -> DataFrame:
     )
 
 
-def _graph(metric: Callable[[Network], DataFrame], *columns: str) -> Callable[[Inputs], DataFrame]:
+def _graph(
+    metric: Callable[[Network], DataFrame], *columns: str, places: int = 9
+) -> Callable[[Inputs], DataFrame]:
     def dataset(d: Inputs) -> DataFrame:
         net = build_network(_edges(d))
-        return rounded(net.named(metric(net)), *columns)
+        return rounded(net.named(metric(net)), *columns, places=places)
 
     return dataset
 
@@ -159,16 +161,9 @@ DATASETS: dict[str, Callable[[Inputs], DataFrame]] = {
     ),
     "net_ego": _graph(_ego),
     "net_clustering": _graph(structure.clustering, "clustering"),
-    # the rounds asked for, so that the SQL statement can repeat them; vertex tables run to rest
-    "net_pagerank": _graph(
-        lambda net: centrality.pagerank(net, rounds=40), "pagerank"
-    ),
-    "net_eigen": _graph(
-        lambda net: centrality.eigenvector(net, rounds=40), "eigen"
-    ),
-    "net_hits": _graph(
-        lambda net: centrality.hub_scores(net, rounds=20), "hub", "authority"
-    ),
+    "net_pagerank": _graph(centrality.pagerank, "pagerank"),
+    "net_eigen": _graph(centrality.eigenvector, "eigen", places=6),
+    "net_hits": _graph(centrality.hub_scores, "hub", "authority", places=6),
     "net_community": _graph(communities),
     "net_closeness": _graph(
         lambda net: paths.closeness_of(paths.reach(net)), "closeness", "closeness_norm"

@@ -57,8 +57,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage of an iterative job with files that outlive any
     executor, and gives the next plan real sizes to choose its joins by.
     """
+    return _written(df, new_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, label)
     before = spark.conf.get(DROP_SHUFFLES)
     spark.conf.set(DROP_SHUFFLES, "true")
     try:
@@ -71,3 +74,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused path in the shared work folder."""
     return f"{work_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+class WorkTables:
+    """Work tables that are deleted together when the block ends.
+
+    ``keep`` works as ``materialize``; what a later step still needs has to be
+    written outside before the end of the block.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> WorkTables:
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = new_path(self.spark, label)
+        self.paths.append(path)
+        return _written(df, path)
+
+    def __exit__(self, *error: object) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for path in self.paths:
+            place = hadoop.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
