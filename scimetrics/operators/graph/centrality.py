@@ -10,7 +10,7 @@ from scimetrics.operators.graph.krylov import Projected, solve
 from scimetrics.operators.graph.network import VERTEX, Network
 
 MOST_STEPS = 500
-RESIDUAL = 1e-14
+RESIDUAL = 1e-13
 
 
 def pagerank(network: Network, damping: float = 0.85, tolerance: float = RESIDUAL) -> DataFrame:

@@ -192,7 +192,9 @@ def solve(network: Network, weight: Column, start: Column, small: Solve, toleran
         .agg(F.collect_list(F.struct("spot", "x")).alias("e"))
         .select("cell", "block", F.col("e.spot").alias("spots"), F.col("e.x").alias("values"))
     )
-    edges = blocks.edges.repartition(*BLOCK_KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    # a stated number of partitions is kept, else few large rows would end in one task
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = blocks.edges.repartition(partitions, *BLOCK_KEY).persist(StorageLevel.MEMORY_AND_DISK)
     # the basis begins with the start as it is; a cell's first vectors are brought to length one by its norm
     basis = first.mapInPandas(partial(_vectors, width=BLOCK), BASIS)
     problems: dict[int, Projected] = {}
