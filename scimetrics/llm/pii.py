@@ -105,7 +105,8 @@ def shape_features(words: Words) -> np.ndarray:
     """(words, FIELDS) slots: shape, folded shape, and the folded shapes around.
 
     A shape maps letters to A or a and digits to 9; a folded shape writes runs
-    of them once. Neighbours are those of the whole batch; lines are cut later.
+    of them once. Neighbours are those of the same line, so that the slots of a
+    word follow from its line alone, whatever else is in the batch.
     """
     n = len(words.start)
     slots = np.zeros((n, FIELDS), np.int64)
@@ -123,6 +124,9 @@ def shape_features(words: Words) -> np.ndarray:
     length = np.minimum(words.end - words.start, 24).astype(np.uint64)
     before = np.concatenate([[np.uint64(0)], folded[:-1]])
     after = np.concatenate([folded[1:], [np.uint64(0)]])
+    cuts = lines(words)
+    before[cuts[:-1]] = 0
+    after[cuts[1:] - 1] = 0
     fields = (full, folded, before, after, mix(folded + length), mix(before ^ mix(after)))
     for k, values in enumerate(fields):
         slots[:, k] = (values % np.uint64(SLOTS)).astype(np.int64) + k * SLOTS

@@ -93,3 +93,22 @@ def test_viterbi_equals_all_paths():
 
         best = max(product(range(pii.STATES), repeat=b - a), key=total)
         assert abs(total(best) - total(tuple(got[a:b]))) < 1e-4
+
+
+def test_spans_follow_from_the_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").toPandas()
+    docs = docs.sort_values("doc_id").head(120)
+    odd = ["555-2259", "9045552259", "call\n555-2259\nnow", "+1 904", "", "\n\n", "555-2259"]
+    texts = [t or "" for t in docs["text"]] + odd
+    together = pii.shape_features(pii.read_words(texts))
+    alone = [pii.shape_features(pii.read_words([t])) for t in texts]
+    assert np.array_equal(together, np.concatenate(alone))
+    backwards = pii.shape_features(pii.read_words(texts[::-1]))
+    assert np.array_equal(backwards, np.concatenate(alone[::-1]))
+    crf = pii.train(spark.createDataFrame(docs))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {}
+    for placed in (rows.coalesce(1), rows.repartition(7), rows.orderBy("text").coalesce(1)):
+        spans = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find_personal_data(placed, crf)).collect()}
+        assert spans == (found or spans)
+        found = spans
