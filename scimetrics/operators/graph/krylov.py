@@ -27,6 +27,7 @@ from scimetrics.session import WorkTables, materialize
 BLOCK = 2048
 #: Receiving vertices of one row of edges, which bounds its codes to BLOCK x STRIPE.
 STRIPE = 128
+SPENT = 1e-14
 BLOCK_KEY = ["cell", "block"]
 BASIS = "cell long, block long, size int, basis binary, moved binary"
 
@@ -142,6 +143,7 @@ class Projected:
     gram: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     through: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     rest: float = 0.0
+    spent: bool = False
     coefficients: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def grow(self, sums: np.ndarray) -> None:
@@ -153,7 +155,10 @@ class Projected:
             larger[:, -1] = larger[-1, :] = column
             setattr(self, name, larger)
         self.coefficients = np.linalg.solve(self.gram, moved)
-        self.rest = float(np.sqrt(max(length - self.coefficients @ moved, 0.0)))
+        outside = max(length - self.coefficients @ moved, 0.0)
+        self.rest = float(np.sqrt(outside))
+        # a difference of this size is rounding: the space has no further dimension
+        self.spent = bool(outside <= SPENT * length)
 
     def ritz(self) -> tuple[np.ndarray, np.ndarray]:
         """Values, falling, and coefficient vectors of unit length of the projected matrix."""
@@ -214,8 +219,7 @@ def solve(network: Network, weight: Column, start: Column, small: Solve, toleran
                 problem = problems.setdefault(cell, Projected())
                 problem.grow(np.array([numbers[k] for k in range(len(numbers))]))
                 coefficients, residual = small(problem)
-                scale = np.abs(problem.through).max() or 1.0
-                if residual <= tolerance or problem.rest <= 1e-12 * scale:
+                if residual <= tolerance or problem.spent:
                     answer[cell] = coefficients
                 else:
                     combine[cell] = problem.coefficients, problem.rest
