@@ -36,6 +36,8 @@ WALKS, SAMPLED = 3, 3
 TARGET_RECALL, AGREEMENT = 0.999, 0.40
 #: Characters and keys of the items that tasks hold at a time.
 BATCH = 4_000_000
+#: Characters of documents read at a time, characters searched at a time, shared runs held at a time.
+SLICE, CHUNK, HITS = 1_000_000, 250_000, 2_000_000
 
 
 def tables_for(recall: float, agreement: float) -> int:
@@ -191,8 +193,19 @@ def item_index(ids: list[int], texts: list[str], distance: float) -> Index:
     return Index(np.array(ids, np.int64), texts, size, edits, needed, np.concatenate(parts), groups)
 
 
-def _shared(data: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(item, place, offset) of all runs that ``data`` shares with the items."""
+def _distinct(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an ascending array and how often each occurs."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``size`` of them."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _matches(data: np.ndarray, index: Index) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By run length the places of runs known to the index, and where and how many are the items' equal runs."""
     found = []
     for q, bits, slots, known, first, item, offset in index.runs:
         if len(data) < q:
@@ -203,33 +216,52 @@ def _shared(data: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.
         at[at == len(known)] = 0
         same = known[at] == hashes[place]
         place, at = place[same], at[same]
-        count = first[at + 1] - first[at]
-        row = np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        found.append((item[row], np.repeat(place, count), offset[row]))
-    if not found:
-        return (np.empty(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found))
+        found.append((place, first[at], first[at + 1] - first[at], item, offset))
+    return found
 
 
 def candidates(data: np.ndarray, bounds: np.ndarray, index: Index) -> pd.DataFrame:
     """(item, text, low, start): window starts, and the first start of the band that they stand in.
 
+    The data are searched in chunks that overlap by the widest band, so every
+    band lies whole in one of them. A chunk with more than HITS shared runs is
+    halved, which bounds memory whatever the items have in common.
+    """
+    overlap = int((index.size + 2 * index.edits).max()) + 2
+    open_ = [(at, min(at + CHUNK + overlap, len(data))) for at in range(0, len(data), CHUNK)]
+    parts = []
+    while open_:
+        begin, end = open_.pop()
+        found = _matches(data[begin:end], index)
+        if end - begin > 4 * overlap and sum(int(x[2].sum()) for x in found) > HITS:
+            middle = (begin + end) // 2
+            open_ += [(begin, middle + overlap), (middle, end)]
+        else:
+            parts.append(_banded(found, begin, bounds, index))
+    return pd.concat(parts).drop_duplicates() if parts else pd.DataFrame(columns=["item", "text", "low", "start"])
+
+
+def _banded(found: list[tuple], base: int, bounds: np.ndarray, index: Index) -> pd.DataFrame:
+    """Candidates among the shared runs of one chunk that begins at ``base``.
+
     A passage keeps ``needed_runs`` runs of its item, and their diagonals
     (place less offset) are at most ``edits`` apart, so they lie in two
     consecutive strips of ``edits + 1`` diagonals.
     """
-    item, place, offset = _shared(data, index)
+    rows = [(_spans(at, count), np.repeat(place + base, count), i, o) for place, at, count, i, o in found]
+    item = np.concatenate([i[r] for r, _, i, _ in rows] or [np.empty(0, np.int64)])
+    place = np.concatenate([p for _, p, _, _ in rows] or [np.empty(0, np.int64)])
+    diagonal = place - np.concatenate([o[r] for r, _, _, o in rows] or [np.empty(0, np.int64)])
     wide, top = index.edits[item] + 1, 1 << 40
     shift = int(index.size.max()) + 1
-    diagonal = place - offset
     key = item * top + (diagonal + shift) // wide + 1
     order = np.argsort(key)
     key = key[order]
-    strips, count = np.unique(key, return_counts=True)
-    strips, count = np.append(strips, -1), np.append(count, 0)
+    strips, count = _distinct(key)
     # a band is a strip and the next one; the one before a strip has hits in its second half only
-    bands = np.union1d(strips[:-1], strips[:-1] - 1)
+    bands, _ = _distinct(np.sort(np.concatenate([strips, strips - 1]), kind="stable"))
     total = np.zeros(len(bands), np.int64)
+    strips, count = np.append(strips, -1), np.append(count, 0)
     for step in (0, 1):
         at = np.searchsorted(strips[:-1], bands + step)
         total += np.where(strips[at] == bands + step, count[at], 0)
@@ -237,13 +269,11 @@ def candidates(data: np.ndarray, bounds: np.ndarray, index: Index) -> pd.DataFra
     parts = []
     for step in (0, 1):
         begin, end = np.searchsorted(key, bands + step, "left"), np.searchsorted(key, bands + step, "right")
-        size = end - begin
-        row = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        rows = order[row]
+        rows = order[_spans(begin, end - begin)]
         parts.append(
             pd.DataFrame(
                 {
-                    "band": np.repeat(bands, size),
+                    "band": np.repeat(bands, end - begin),
                     "item": item[rows],
                     "text": np.searchsorted(bounds, place[rows], "right") - 1,
                     "start": diagonal[rows],
@@ -255,7 +285,18 @@ def candidates(data: np.ndarray, bounds: np.ndarray, index: Index) -> pd.DataFra
     found = found[hits.to_numpy() >= index.needed[found["item"].to_numpy()]].drop_duplicates()
     wide = index.edits[found["item"].to_numpy()] + 1
     low = (found["band"] - found["item"] * top - 1) * wide - shift
-    return found.assign(low=low).drop(columns="band")
+    return found.assign(low=low)[["item", "text", "low", "start"]]
+
+
+def _regions(kept: pd.DataFrame, index: Index) -> pd.DataFrame:
+    """(item, text, low, high): first and last band of every chain of overlapping bands."""
+    kept = kept[["item", "text", "low"]].drop_duplicates().sort_values(["text", "item", "low"])
+    same = (kept[["text", "item"]].diff() == 0).all(axis=1)
+    chained = same & (kept["low"].diff() <= index.edits[kept["item"].to_numpy()] + 1)
+    chain = (~chained).cumsum()
+    return kept.groupby(chain.to_numpy()).agg(
+        item=("item", "first"), text=("text", "first"), low=("low", "first"), high=("low", "last")
+    )
 
 
 def _distances(item: str, text: str, anchored: bool) -> list[int]:
@@ -308,7 +349,7 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _passages(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for part in text_slices(batch["text"].tolist(), 4_000_000):
+        for part in text_slices(batch["text"].tolist(), SLICE):
             words = read_words(batch["text"].tolist()[part], lower=True)
             if not len(words.start):
                 continue
@@ -328,13 +369,13 @@ def _passages(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.Data
             if not kept:
                 continue
             best = {}
-            for item, text, low in pd.concat(kept)[["item", "text", "low"]].drop_duplicates().itertuples(index=False):
+            for item, text, low, high in _regions(pd.concat(kept), index).itertuples(index=False):
                 if best.get((text, item), (1,))[0] == 0:
                     continue
                 d, n = int(index.edits[item]), int(index.size[item])
-                # the start is within d diagonals of the band's 2 d + 2, the passage at most n + d long
+                # the start is within d diagonals of a band's 2 d + 2, the passage at most n + d long
                 begin = max(low - d, int(bounds[text]))
-                end = min(low + 2 * d + 1 + d + n + d, int(bounds[text + 1]) - 1)
+                end = min(high + 2 * d + 1 + d + n + d, int(bounds[text + 1]) - 1)
                 piece = normal.data[begin:end].tobytes().decode("utf-32-le", "replace")
                 edits, b, e = best_passage(index.texts[item], piece)
                 if edits <= d:

@@ -83,6 +83,23 @@ def test_no_passage_within_the_limit_is_filtered_out(kind):
     assert len(want) >= 10 and want <= set(zip(found["text"], found["item"]))
 
 
+def test_chunks_of_any_size_give_the_same_candidates(monkeypatch):
+    items, docs = planted(["letters", "dropped"])
+    # a common opening makes many items share the same runs
+    items = [(i, "the following sentence opens every item " + t) for i, t in items]
+    docs = [(d, t + " the following sentence opens every item") for d, t in docs]
+    index = decontaminate.item_index(*zip(*items), decontaminate.DISTANCE)
+    data = np.frombuffer("".join(t + " " for _, t in docs).encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in docs])])
+    rows = lambda: {tuple(map(int, r)) for r in decontaminate.candidates(data, bounds, index).itertuples(index=False)}
+    whole = rows()
+    for chunk, hits in ((2_000, 10**9), (50_000, 500), (777, 100)):
+        monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        assert rows() == whole
+    assert len(whole) > 100
+
+
 def test_joined_dropped_and_inserted_words_are_found(spark):
     items, docs = planted(["joined", "dropped", "inserted"])
     df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
