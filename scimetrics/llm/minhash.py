@@ -26,6 +26,8 @@ BANDS, ROWS = 32, 4
 VALUES, BATCH = 256, 64
 #: Larger buckets are compared in blocks of signatures instead of rows of pairs.
 SMALL_BUCKET, LEFT_BLOCK, RIGHT_BLOCK = 12, 512, 4096
+#: Shingles in a block of full sets; a member counts SIGNED more.
+LEFT_SHINGLES, RIGHT_SHINGLES, SIGNED = 200_000, 1_000_000, 64
 
 _rng = np.random.default_rng(6)
 _A = _rng.integers(1, 2**63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,14 +124,31 @@ def _promising(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd
         yield batch[["a", "b"]].iloc[alive]
 
 
-def _block(frame: pd.DataFrame, least: list[int]) -> pd.DataFrame:
-    """Promising pairs between the left and the right rows of one block of a bucket."""
+def _reached(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sorted sets ``others`` reach the threshold with the sorted set ``own``."""
+    size = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    at = np.searchsorted(own, flat)
+    at[at == len(own)] = 0
+    shared = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(size) - size)
+    return 100 * shared >= percent * (len(own) + size - shared)
+
+
+def _block(frame: pd.DataFrame, least: list[int], percent: int) -> pd.DataFrame:
+    """One block of a group, its left rows against its right rows.
+
+    Without full sets: the (group, set_id) that have a promising pair. With
+    them: pairs (a, b) that reach the threshold, one for every left row and
+    component on the right, as any one unites the two components.
+    """
     frame = frame.reset_index(drop=True)
     left, right = frame[frame["left"]], frame[~frame["left"]]
-    found = []
+    exact = "shingles" in frame
+    seen, found = [np.empty(0, np.int64)], [pd.DataFrame({"a": [], "b": []}, dtype=np.int64)]
     if len(right):
         body = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(-1, VALUES)
         ids, roots, parts = (right[c].to_numpy() for c in ("set_id", "root", "part"))
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in right["shingles"]] if exact else []
         for row in left.itertuples(index=False):
             own = np.frombuffer(row.signature, np.uint8)
             alive = np.flatnonzero((roots != row.root) & ((parts != row.part) | (ids > row.set_id)))
@@ -139,8 +158,18 @@ def _block(frame: pd.DataFrame, least: list[int]) -> pd.DataFrame:
                 equal += (body[alive, part] == own[part]).sum(axis=1)
                 keep = equal >= needed
                 alive, equal = alive[keep], equal[keep]
-            found.append(pd.DataFrame({"a": row.set_id, "b": ids[alive]}))
-    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []})
+            if not len(alive):
+                continue
+            if exact:
+                whole = np.asarray(row.shingles, np.int64).view(np.uint64)
+                near = alive[_reached(whole, [sets[i] for i in alive], percent)]
+                near = near[np.unique(roots[near], return_index=True)[1]]
+                found.append(pd.DataFrame({"a": row.set_id, "b": ids[near]}))
+            else:
+                seen += [[row.set_id], ids[alive]]
+    if exact:
+        return pd.concat(found)
+    return pd.DataFrame({"set_id": np.unique(np.concatenate(seen))}).assign(group=frame["group"].iloc[0])
 
 
 def _promising_pairs(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
@@ -149,21 +178,26 @@ def _promising_pairs(pairs: DataFrame, classes: DataFrame, least: list[int]) ->
     return both.mapInPandas(partial(_promising, least=least), "a long, b long")
 
 
-def _blocks(rows: DataFrame, least: list[int]) -> DataFrame:
-    """Promising pairs of ``rows(group, set_id, root, signature, left, right)`` within their group.
+def _blocks(rows: DataFrame, least: list[int], percent: int) -> DataFrame:
+    """``_block`` over ``rows(group, set_id, root, signature, left, right[, shingles])`` within their groups.
 
-    Rows with ``left`` form blocks of LEFT_BLOCK that meet blocks of RIGHT_BLOCK
-    of the rows with ``right``: a task gets a bounded block, and pairs exist in
-    its memory only. Rows on both sides meet once.
+    Rows with ``left`` form bounded blocks that meet bounded blocks of the rows
+    with ``right``: a task gets a block of each, and pairs exist in its memory
+    only. Rows on both sides meet once. Full sets make blocks by their size.
+    The number of partitions is stated, so that blocks with few bytes and much
+    work are not merged into few tasks.
     """
-    sizes = rows.groupBy("group").agg(
-        F.ceil(F.count_if("left") / LEFT_BLOCK).alias("parts"), F.ceil(F.count_if("right") / RIGHT_BLOCK).alias("pages")
-    )
-    sizes = materialize(sizes, "sizes")
+    exact = "shingles" in rows.columns
+    weight = F.size("shingles") + SIGNED if exact else F.lit(1)
+    left, right = (LEFT_SHINGLES, RIGHT_SHINGLES) if exact else (LEFT_BLOCK, RIGHT_BLOCK)
+    blocks = lambda side, size: F.ceil(F.sum(F.when(F.col(side), weight).otherwise(0)) / size)
+    sizes = rows.groupBy("group").agg(blocks("left", left).alias("parts"), blocks("right", right).alias("pages"))
+    sizes = materialize(sizes.where("parts > 0 and pages > 0"), "sizes")
     rows = rows.join(sizes, "group")
     rows = rows.withColumn("part", F.when(F.col("left"), F.pmod(F.xxhash64("set_id"), "parts")))
     rows = materialize(rows.withColumn("page", F.pmod(F.xxhash64("set_id", F.lit(1)), "pages")), "rows")
     columns = ["group", "set_id", "root", "signature", F.coalesce("part", F.lit(-1)).alias("part")]
+    columns += ["shingles"] if exact else []
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n)
     lefts = rows.where("left").select(
         *columns, F.lit(True).alias("left"), F.col("part").alias("p"), F.explode(upto(F.col("pages") - 1)).alias("q")
@@ -171,17 +205,22 @@ def _blocks(rows: DataFrame, least: list[int]) -> DataFrame:
     rights = rows.where("right").select(
         *columns, F.lit(False).alias("left"), F.explode(upto(F.coalesce("part", F.col("parts") - 1))).alias("p"), F.col("page").alias("q")
     )
-    return lefts.unionByName(rights).groupBy("group", "p", "q").applyInPandas(
-        lambda frame: _block(frame, least), "a long, b long"
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lefts.unionByName(rights).repartition(tasks, "group", "p", "q").groupBy("group", "p", "q").applyInPandas(
+        partial(_block, least=least, percent=percent), "a long, b long" if exact else "group long, set_id long"
     )
 
 
-def _across(placed: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
-    """Promising pairs of different components that share a bucket.
+def _across(
+    placed: DataFrame, classes: DataFrame, docs: DataFrame, least: list[int], size: int, percent: int
+) -> DataFrame:
+    """Links between different components that share a bucket, enough to unite all that are linked.
 
     The members outside a bucket's largest component, its guests, are compared
     with that whole component, once for all buckets, and with the guests of
-    the same bucket that are in other components.
+    the same bucket that are in other components. Signatures say which members
+    have promising pairs; these meet again with their full sets. So what a
+    group hands on grows with its members, not with its pairs.
     """
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("home"), F.sum("n").alias("n"))
@@ -195,31 +234,39 @@ def _across(placed: DataFrame, classes: DataFrame, least: list[int]) -> DataFram
     hosts = nodes.join(homes, nodes["root"] == homes["group"]).select("group", "set_id", "root")
     rows = visits.withColumn("left", F.lit(True)).unionByName(hosts.withColumn("left", F.lit(False)))
     rows = materialize(rows.withColumn("right", ~F.col("left")).join(signed, "set_id"), "visits")
-    found = _blocks(rows, least)
+    large = guests.where(f"guests > {SMALL_BUCKET}").select(
+        F.col("bucket").alias("group"), "set_id", "root", F.lit(True).alias("left"), F.lit(True).alias("right")
+    )
+    large = materialize(large.join(signed, "set_id"), "large")
+    met = [(x, materialize(_blocks(x, least, percent).distinct(), "met")) for x in (rows, large)]
 
     small = materialize(guests.where(f"guests between 2 and {SMALL_BUCKET}"), "small").select("bucket", "set_id", "root")
     left, right = small.toDF("bucket", "a", "ra"), small.toDF("bucket", "b", "rb")
     pairs = left.join(right, "bucket").where("ra < rb").select("a", "b").distinct()
-    few = _promising_pairs(pairs, classes, least)
+    few = materialize(_promising_pairs(pairs, classes, least), "few")
 
-    large = guests.where(f"guests > {SMALL_BUCKET}").select(
-        F.col("bucket").alias("group"), "set_id", "root", F.lit(True).alias("left"), F.lit(True).alias("right")
-    )
-    many = _blocks(materialize(large.join(signed, "set_id"), "large"), least)
-    found = found.unionByName(few).unionByName(many)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    wanted = few.select(F.explode(F.array("a", "b")).alias("set_id"))
+    for _, some in met:
+        wanted = wanted.unionByName(some.select("set_id"))
+    sets = _full_sets(wanted.distinct(), classes, docs, size)
+    found = _confirmed(few, sets, percent)
+    for x, some in met:
+        own = x.join(some, ["group", "set_id"], "left_semi").join(sets, "set_id")
+        found = found.unionByName(materialize(_blocks(materialize(own, "own"), least, percent), "near"))
+    return found
 
 
-def _confirmed(alive: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the promising pairs whose shingle sets reach the threshold."""
-    wanted = alive.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+def _full_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(set_id, shingles) of the classes ``wanted(set_id)``, each read from one document."""
     wanted = materialize(wanted.join(classes.select("set_id", "doc_id"), "set_id"), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    texts = docs.join(checked(materialize(ids, "wanted"), 24), "doc_id")
+    texts = docs.join(checked(materialize(wanted.select("doc_id").distinct(), "wanted"), 24), "doc_id")
     sets = texts.mapInPandas(partial(_sets, size=size), "set_id long, shingles array<long>")
     # a repeated doc_id may bring other texts along
-    sets = sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
-    sets = materialize(sets, "sets")
+    return materialize(sets.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
+
+
+def _confirmed(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the promising pairs whose shingle sets reach the threshold."""
     both = alive.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
@@ -263,15 +310,15 @@ def near_duplicates(
     pairs = members.where("a <> set_id").select("a", F.col("set_id").alias("b")).distinct()
     least = least_matches(percent, miss)
     alive = materialize(_promising_pairs(pairs, classes, least), "alive")
-    near = _confirmed(alive, classes, docs, size, percent)
+    wanted = alive.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    near = _confirmed(alive, _full_sets(wanted, classes, docs, size), percent)
     roots = materialize(components(near), "roots")
 
     placed = members.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = materialize(
         placed.select("bucket", "set_id", F.coalesce("root", "set_id").alias("root")), "placed"
     )
-    alive = materialize(_across(placed, classes, least), "alive")
-    more = _confirmed(alive, classes, docs, size, percent)
+    more = _across(placed, classes, docs, least, size, percent)
     if not more.isEmpty():
         roots = materialize(components(near.unionByName(more)), "roots")
 

@@ -74,5 +74,7 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
     monkeypatch.setattr(minhash, "LEFT_BLOCK", 3)
     monkeypatch.setattr(minhash, "RIGHT_BLOCK", 5)
+    monkeypatch.setattr(minhash, "LEFT_SHINGLES", 300)
+    monkeypatch.setattr(minhash, "RIGHT_SHINGLES", 500)
     rows = corpus(120, seed=8)
     assert ours(spark, rows, size=2) == brute(rows, 2, 80)
