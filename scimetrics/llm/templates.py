@@ -1,16 +1,17 @@
 """Main text of web pages: site templates are found by recurring subtrees.
 
-Every container element gets a hash of its subtree. Spark counts, per host,
-under how many different articles a subtree occurs; those that recur are
-deleted before the text is taken. Elements that say by tag, class or role that
-they are no article text go as well.
+Every container element gets a hash of its subtree, on pages that mark no
+article every block but the headings. Spark counts, per host, under how many
+different articles a subtree occurs; those that recur are deleted before the
+text is taken. Elements that say by tag, class or role that they are no article
+text go as well, unless the only article of the page would go with them.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from hashlib import blake2b
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from scimetrics.llm.tables import checked, id_columns, known_ids
 from scimetrics.session import materialize
 
-#: A subtree under so many different articles of a host belongs to the template.
-LEAST_ARTICLES = 5
+#: A subtree under so many different articles of a host, and such a share of them, belongs to the template.
+LEAST_ARTICLES, SHARE = 5, 0.05
 
 # fixed values
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,7 +38,8 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary "
     "table tbody td tfoot th thead tr ul caption option".split()
 )
-CONTAINERS = frozenset("div section ul ol dl table figure details header fieldset center span".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup html body".split())
+CONTAINERS = frozenset("div section ul ol dl table figure details header fieldset center".split())
 #: Elements that a new one of the same group ends; the search stops at the bounds.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -54,6 +56,12 @@ NOT_ARTICLE = frozenset(
     "popup promo promotion promoted recommended related reply replies responses share sharing sidebar signup "
     "skyscraper social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: What may follow a word of NOT_ARTICLE in a hyphenated name, and what makes it a remark about the page.
+PARTS = frozenset(
+    "area bar block body box container content form group header inner item items left link links list main panel "
+    "right row section text title top bottom unit wrap wrapper".split()
+)
+REMARKS = frozenset("has have hide is no non not show with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 _MARK = re.compile(
@@ -76,7 +84,7 @@ class Element:
                 if name.lower() == "role":
                     self.role = value.strip()
                 else:
-                    names.update(re.split(r"[^a-z]+", value))
+                    names.update(value.split())
             self.names = frozenset(names)
 
 
@@ -137,19 +145,34 @@ def _walk(root: Element) -> Iterator[Element]:
         open_ += [x for x in reversed(element.inside) if isinstance(x, Element)]
 
 
-def _dropped(element: Element) -> bool:
-    return element.tag in DROPPED or element.role in ROLES or (
-        element.tag not in ("html", "body", "main", "#root") and bool(element.names & NOT_ARTICLE)
-    )
+def _foreign(name: str) -> bool:
+    """Whether a class or id names something that is no article: ``ad``, ``site-footer``, ``comment-list``.
+
+    The whole name counts: ``has-sidebar``, ``comments-open`` and ``related-work`` say nothing of the kind.
+    """
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if not words or words[0] in REMARKS:
+        return False
+    return words[-1] in NOT_ARTICLE or words[0] in NOT_ARTICLE and all(w in PARTS or w in NOT_ARTICLE for w in words)
+
+
+def _dropped(element: Element, named: bool = True) -> bool:
+    if element.tag in DROPPED or element.role in ROLES:
+        return True
+    return named and element.tag not in ("html", "body", "main", "#root") and any(map(_foreign, element.names))
+
 
+def main_elements(root: Element, named: bool = True) -> list[Element]:
+    """The outermost articles, else the main element, else the whole page.
 
-def main_elements(root: Element) -> list[Element]:
-    """The outermost articles, else the main element, else the whole page."""
+    A form that holds an article is looked into. Without ``named`` the classes
+    of an article and of what holds it do not matter.
+    """
     found: dict[str, list[Element]] = {"article": [], "main": []}
     open_ = [(root, False)]
     while open_:
         element, within = open_.pop()
-        if _dropped(element):
+        if element.tag != "form" and _dropped(element, named):
             continue
         kind = "main" if element.role == "main" else element.tag
         if kind in found and not (kind == "article" and within):
@@ -159,6 +182,16 @@ def main_elements(root: Element) -> list[Element]:
     return found["article"] or found["main"] or [root]
 
 
+def _own_elements(root: Element) -> list[Element]:
+    """Main elements; those under foreign names only if the page has no text without them."""
+    own = main_elements(root)
+    if own == [root]:
+        marked = main_elements(root, named=False)
+        if marked != [root] and not _has_text(root, _dropped):
+            return marked
+    return own
+
+
 def _digests(root: Element) -> None:
     for element in reversed(list(_walk(root))):
         parts = [element.tag, *sorted(element.names)]
@@ -168,23 +201,31 @@ def _digests(root: Element) -> None:
         element.digest = int.from_bytes(blake2b(packed, digest_size=8).digest(), "little", signed=True)
 
 
-def _has_text(element: Element) -> bool:
-    return any(isinstance(x, str) and not x.isspace() for e in _walk(element) for x in e.inside)
+def _has_text(element: Element, skip: Callable[[Element], bool] = lambda e: False) -> bool:
+    open_ = [element]
+    while open_:
+        for x in open_.pop().inside:
+            if isinstance(x, Element):
+                open_ += [] if skip(x) else [x]
+            elif not x.isspace():
+                return True
+    return False
 
 
 def subtrees(root: Element) -> tuple[int, set[int]]:
     """Digest of the main elements, and of the containers that may belong to a template."""
     _digests(root)
-    own = main_elements(root)
+    own = _own_elements(root)
     article = hash(tuple(e.digest for e in own))
     around = {id(e) for e in own}
     holds = set(around)
     for element in reversed(list(_walk(root))):
         if any(isinstance(x, Element) and id(x) in holds for x in element.inside):
             holds.add(id(element))
+    counted = BLOCKS - HEADINGS if own == [root] else CONTAINERS
     found = {
         e.digest for e in _walk(root)
-        if e.tag in CONTAINERS and id(e) not in holds and not _dropped(e) and _has_text(e)
+        if e.tag in counted and id(e) not in holds and not _dropped(e) and _has_text(e)
     }
     return article, found
 
@@ -194,7 +235,7 @@ def main_text(text: str, template: frozenset[int]) -> str:
     root = parse(text)
     if template:
         _digests(root)
-    own = main_elements(root)
+    own = _own_elements(root)
     blocks: list[list[str]] = [[]]
     kept = {id(e) for e in own}
     open_: list[Element | str | None] = list(reversed(own))
@@ -227,9 +268,11 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for page_id, url, text in zip(batch["page_id"].tolist(), batch["url"], batch["html"]):
             if host := host_of(url):
                 article, found = subtrees(parse(text))
-                rows += [(page_id, host, article, digest) for digest in sorted(found)]
+                # the first row stands for the page itself
+                rows += [(page_id, host, article, digest) for digest in [None, *sorted(found)]]
         if rows:
-            yield pd.DataFrame(rows, columns=["page_id", "host", "article", "subtree"])
+            frame = pd.DataFrame(rows, columns=["page_id", "host", "article", "subtree"])
+            yield frame.assign(subtree=pd.array([r[3] for r in rows], "Int64"))
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,19 +285,23 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": known_ids(batch, "page_id").array, "url": batch["url"], "text": texts})
 
 
-def template_subtrees(pages: DataFrame, least: int = LEAST_ARTICLES) -> DataFrame:
+def template_subtrees(pages: DataFrame, least: int = LEAST_ARTICLES, share: float = SHARE) -> DataFrame:
     """(page_id, template): digests of each page's subtrees that recur on its host.
 
     A subtree counts once per different article, so copies of one page never
-    make their own text a template.
+    make their own text a template. It recurs if it has at least ``least``
+    articles and ``share`` of all articles of the host.
     """
     rows = pages.where("not no_id").select("page_id", "url", "html")
     found = materialize(
         rows.mapInPandas(_hashed, "page_id long, host string, article long, subtree long"), "subtrees"
     )
-    recurring = (
-        found.select("host", "subtree", "article").distinct().groupBy("host", "subtree").count().where(f"count >= {least}")
+    articles = found.where("subtree is null").select("host", "article").distinct().groupBy("host").agg(
+        F.count("*").alias("articles")
     )
+    found = found.where("subtree is not null")
+    recurring = found.select("host", "subtree", "article").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    recurring = recurring.where(F.col("n") >= least).join(articles, "host").where(F.col("n") >= share * F.col("articles"))
     recurring = materialize(recurring.select("host", "subtree"), "recurring")
     return found.join(recurring, ["host", "subtree"]).groupBy("page_id").agg(
         F.collect_set("subtree").alias("template")
@@ -264,6 +311,7 @@ def template_subtrees(pages: DataFrame, least: int = LEAST_ARTICLES) -> DataFram
 def extract(
     pages: DataFrame,
     least: int = LEAST_ARTICLES,
+    share: float = SHARE,
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
@@ -278,7 +326,7 @@ def extract(
     rows = pages.select(
         *id_columns(id_col, "page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")
     )
-    template = materialize(template_subtrees(rows, least), "templates")
+    template = materialize(template_subtrees(rows, least, share), "templates")
     key = F.when(F.col("no_id"), F.lit(None)).otherwise(F.col("page_id"))
     own = checked(template.withColumnRenamed("page_id", "key"), 200)
     rows = rows.withColumn("key", key).join(own, "key", "left")

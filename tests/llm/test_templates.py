@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from scimetrics.llm import templates
 
@@ -56,6 +57,44 @@ def test_recurring_subtrees_go(spark):
     assert (got[60].text, got[60].n_chars, got[None].text, got[61].text) == ("", 0, "x", "y")
 
 
+@pytest.mark.parametrize("body, want", [
+    ('<article class="post comments-open"><p>Hello</p></article>', "Hello"),
+    ('<div class="layout has-sidebar"><article><p>Hello</p></article></div>', "Hello"),
+    ('<article><div class="related-work"><p>Hello</p></div></article>', "Hello"),
+    ('<form id="all"><article><p>Hello</p><form><p>q</p></form></article></form>', "Hello"),
+    ('<div class="widget"><article><p>Hello</p></article></div>', "Hello"),
+    ('<div class="related"><article><p>Teaser</p></article></div><div><p>Hello</p></div>', "Hello"),
+    ('<div class="ad">Buy</div>', ""),
+    ('<article><p>Hello</p><div class="comment-list"><p>me</p></div><div id="site-footer">f</div></article>', "Hello"),
+    ('<article><p>Hello</p></article><article class="comment"><p>me</p></article>', "Hello"),
+])
+def test_whole_names_decide_and_the_article_stays(body, want):
+    assert text_of(f"<html><body>{body}</body></html>") == want
+
+
+def test_inline_elements_and_rare_subtrees_stay(spark):
+    rows = [page(i, f"<article><p>Water is <span>H2O</span> and text {i}</p></article>") for i in range(8)]
+    box = "<div><p>once in a while</p></div>"
+    rows += [page(100 + i, f"<article><p>{i}</p>{box if i < 6 else ''}</article>", "large") for i in range(130)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(df).collect()}
+    assert got[3] == "Water is H2O and text 3"
+    assert got[100] == "0\nonce in a while" and got[120] == "20"
+
+
+def test_pages_without_marks_lose_what_recurs(spark):
+    rows = [
+        page(i, f"<html><body><div><p>Menu</p><p>Home</p></div><h2>Introduction</h2><div><p>story {i}</p><p>more {i}</p></div>"
+                "<p>All rights reserved</p></body></html>")
+        for i in range(6)
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(df).collect()}
+    assert all(got[i] == f"Introduction\nstory {i}\nmore {i}" for i in range(6))
+    count = templates.template_subtrees(df.withColumn("no_id", F.lit(False))).first().template
+    assert len(count) == 4
+
+
 def test_synthetic_pages(spark):
     rows = duckdb.sql(f"select page_id, html from '{FOLDER}/pages.parquet'").fetchall()
     got = {r.page_id: r.text for r in templates.extract(spark.read.parquet(f"{FOLDER}/pages.parquet")).collect()}
