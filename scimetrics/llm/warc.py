@@ -148,20 +148,36 @@ def _http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, v in pairs}, head + found, body
 
 
+def _declared(url: str, block: bytes) -> list[str] | None:
+    """Fields that a version block declares in its second line; None for any other record."""
+    lines = block.split(b"\n", 2)
+    if not url.startswith("filedesc://") or len(lines) < 2 or not re.match(rb"\d+ \d+ ", lines[0]):
+        return None
+    fields = lines[1].decode("latin-1").split()
+    return fields if fields[:1] == ["URL"] and fields[-1:] == ["Archive-length"] else None
+
+
 def arc_records(content: bytes) -> Iterator[dict]:
-    """Records of an ARC file; the version blocks say which fields a record line has."""
+    """Records of an ARC file; the version blocks say which fields a record line has.
+
+    A page may have a ``filedesc://`` address too: only a block that declares
+    fields is a version block. A stated checksum (hex CRC-32) must agree.
+    """
     stream, fields = _Stream(content), ARC_FIELDS[1].split()
     while (line := stream.line()) is not None:
         if not line:
             continue
         values = line.decode("utf-8", "replace").split(" ")
         block = stream.take(int(values[-1]))
-        if values[0].startswith("filedesc://"):
-            fields = ARC_FIELDS[int(block[:1])].split()
+        if declared := _declared(values[0], block):
+            fields = declared
             continue
         if len(values) != len(fields):
             raise ValueError(f"{len(values)} fields where {len(fields)} were declared")
         record = dict(zip(fields, values))
+        stated = record.get("Checksum", "-")
+        if re.fullmatch("[0-9a-f]{8}", stated) and int(stated, 16) != zlib.crc32(block):
+            raise ValueError(f"the checksum of {record['URL']} is not that of its block")
         http, head, payload = _http(block)
         yield {
             "page_id": int(http["x-page-id"]) if "x-page-id" in http else None,

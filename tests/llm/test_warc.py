@@ -20,6 +20,8 @@ PAGES = [
     (12, "u", "x" * 99),
     (13, "u", "x" * 99),
     (14, "u", "y" * 6_000_000),
+    (15, "filedesc://segment.arc", "1 0 x\nURL Archive-length\n"),
+    (16, "filedesc://Home", None),
     (None, "n", LONG),
     (10, "u", "x" * 100),
 ]
@@ -71,5 +73,15 @@ def test_both_versions_and_members(version):
         list(warc.arc_records(gzip.compress(b"".join(parts)[:-5])))
 
 
+def test_the_definition_line_counts_and_checksums_must_agree():
+    body = b"1 1 x\nURL Content-type IP-address Archive-date Archive-length\n"
+    head = b"filedesc://a 0.0.0.0 19970101000000 text/plain %d\n" % len(body) + body + b"\n"
+    got = list(warc.arc_records(gzip.compress(head + b"http://x/ text/html 1.2.3.4 19990101000000 3\nabc\n")))
+    assert [(r["url"], r["ip"], r["payload"]) for r in got] == [("http://x/", "1.2.3.4", b"abc")]
+    record = warc._arc_record(2, 1, "http://x/", "body", 0).replace(b"body", b"bodi")
+    with pytest.raises(ValueError, match="checksum"):
+        list(warc.arc_records(gzip.compress(warc._arc_head(2) + record)))
+
+
 def test_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
