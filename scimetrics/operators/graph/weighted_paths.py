@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scimetrics.operators.graph.network import CELL, VERTEX, Network, incidences
+from scimetrics.operators.graph.paths import LIVE_ROWS, positions
 from scimetrics.operators.joins import join_na
-from scimetrics.session import materialize
+from scimetrics.session import WorkTables, materialize
 
 TOLERANCE = 1e-10
-STATE = ["cell", "source", "id"]
+#: sources side by side in a row, a column for each
+LANES = 16
+ROW = ["cell", "id", "block"]
+
+
+def _lanes(name: str) -> list[str]:
+    return [f"{name}{i}" for i in range(LANES)]
+
+
+def _bit(mask: str, lane: int) -> Column:
+    return F.col(mask).bitwiseAND(F.lit(1 << lane)) != 0
+
+
+def _mask(conditions: list[Column]) -> Column:
+    bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(conditions)]
+    return reduce(lambda a, b: a + b, bits)
+
+
+def _some(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(c) != 0 for c in columns])
+
+
+def _summed(parts: list[DataFrame], name: str) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy(*ROW).agg(*[F.sum(c).alias(c) for c in _lanes(name)])
 
 
 def _roads(network: Network, edges: DataFrame, weight: str) -> DataFrame:
     """Shortest length between neighbours and how many parallel edges have it.
 
-    A pair has at most two edges, one per orientation.
+    A pair has at most two edges, one per orientation. An edge without a
+    positive weight is no road. ``width`` is the mean length in the cell.
     """
-    lengths = incidences(edges.select(*CELL, "from", "to", (1.0 / F.col(weight)).alias("length")))
+    weighted = edges.where(F.col(weight) > 0)
+    lengths = incidences(weighted.select(*CELL, "from", "to", (1.0 / F.col(weight)).alias("length")))
     roads = (
         join_na(lengths, network.cells, CELL)
         .where(F.col("id") != F.col("other"))
@@ -26,119 +55,153 @@ def _roads(network: Network, edges: DataFrame, weight: str) -> DataFrame:
         .agg(F.min("length").alias("length"), F.max("length").alias("longest"), F.count("*").alias("k"))
     )
     equal = F.col("longest") <= F.col("length") * (1 + TOLERANCE)
-    return roads.select("cell", "src", "dst", "length", F.when(equal, F.col("k")).otherwise(1).alias("m"))
+    width = roads.groupBy("cell").agg(F.avg("length").alias("width"))
+    return roads.join(width, "cell").select(
+        "cell", "src", "dst", "length", F.when(equal, F.col("k")).otherwise(1).alias("m"), "width"
+    )
 
 
-def _distances(network: Network, roads: DataFrame) -> DataFrame:
-    """Distance of every vertex from every source that reaches it.
+def _distances(sources: DataFrame, roads: DataFrame, widths: DataFrame, work: WorkTables) -> DataFrame:
+    """(cell, id, block, d0, d1, …): distance of every vertex from the sources of every block.
 
-    Only vertices that came closer in a round pass their distance on.
+    Delta-stepping (Meyer and Sanders 2003) for all sources of the group at
+    once: only entries that came closer and lie in the lowest open bucket of
+    their block's tentative distances, which begins at the nearest, pass theirs on; ``open`` holds as bits
+    which entries still have to. A bucket is as wide as the cell's mean road.
     """
-    state = network.vertices.select(
-        "cell", F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")
+    far = F.lit(float("inf"))
+    d, offered = _lanes("d"), _lanes("o")
+    state = work.keep(
+        sources.join(widths, "cell").select(
+            *ROW,
+            "width",
+            *[F.when(F.col("lane") == i, 0.0).otherwise(far).alias(c) for i, c in enumerate(d)],
+            F.expr("shiftleft(1, cast(lane as int))").alias("open"),
+        ),
+        "distances",
     )
+    nearest = F.least(*[F.when(_bit("open", i), F.col(c)).otherwise(far) for i, c in enumerate(d)])
+    limit = F.coalesce("limit", F.lit(0.0))
+    goes = [_bit("open", i) & (F.col(c) < limit) for i, c in enumerate(d)]
+    sends = reduce(lambda a, b: a | b, goes)
+    going = [F.when(g, F.col(c)).otherwise(far).alias(c) for g, c in zip(goes, d)]
+    waits = F.col("open").bitwiseAND(F.bitwise_not(_mask(goes))).alias("open")
+    unknown, unoffered = [far.alias(c) for c in d], [far.alias(o) for o in offered]
+    longer = [(F.col(c) + F.col("length")).alias(o) for c, o in zip(d, offered)]
+    best = [F.max("width").alias("width"), F.max("open").alias("open"), *[F.min(c).alias(c) for c in d + offered]]
+    closer = [F.col(o) < F.col(c) * (1 - TOLERANCE) for c, o in zip(d, offered)]
+    settled = [F.when(w, F.col(o)).otherwise(F.col(c)).alias(c) for w, c, o in zip(closer, d, offered)]
+    opened = F.col("open").bitwiseOR(_mask(closer)).alias("open")
     while True:
-        front = state.where("fresh").select("cell", "source", F.col("id").alias("src"), "dist")
+        waiting = state.where(F.col("open") != 0)
+        if waiting.isEmpty():
+            return state.select(*ROW, *d)
+        lowest = waiting.groupBy("cell", "block", "width").agg(F.min(nearest).alias("near"))
+        limits = lowest.select("cell", "block", (F.col("near") + F.col("width")).alias("limit"))
+        limited = state.join(limits, ["cell", "block"], "left")
+        front = limited.where(sends).select("cell", F.col("id").alias("src"), "block", *going)
         offers = front.join(roads, ["cell", "src"]).select(
-            "cell",
-            "source",
-            F.col("dst").alias("id"),
-            (F.col("dist") + F.col("length")).alias("dist"),
-            F.lit(None).cast("double").alias("old"),
-        )
-        known = state.select(*STATE, "dist", F.col("dist").alias("old"))
-        best = known.unionByName(offers).groupBy(*STATE).agg(
-            F.min("dist").alias("dist"), F.min("old").alias("old")
+            "cell", F.col("dst").alias("id"), "block", "width", F.lit(0).alias("open"), *unknown, *longer
         )
-        closer = F.col("old").isNull() | (F.col("dist") < F.col("old") * (1 - TOLERANCE))
-        state = materialize(best.select(*STATE, "dist", closer.alias("fresh")), "distances")
-        if state.where("fresh").isEmpty():
-            return state.drop("fresh")
+        known = limited.select(*ROW, "width", waits, *d, *unoffered)
+        met = known.unionByName(offers).groupBy(*ROW).agg(*best)
+        state = work.keep(met.select(*ROW, "width", *settled, opened), "distances")
 
 
 def _tight(distances: DataFrame, roads: DataFrame) -> DataFrame:
-    """Edges that lie on a shortest path from the source, directed away from it."""
-    here = distances.withColumnsRenamed({"id": "src", "dist": "here"})
-    there = distances.withColumnsRenamed({"id": "dst", "dist": "there"})
-    on_path = F.abs(F.col("here") + F.col("length") - F.col("there")) <= TOLERANCE * F.col("there")
+    """Roads that lie on a shortest path away from a source; ``on`` tells as bits from which of the block."""
+    d = _lanes("d")
+    here = distances.withColumnRenamed("id", "src")
+    there = distances.select("cell", F.col("id").alias("dst"), "block", *[F.col(c).alias(f"t{c}") for c in d])
+    on = _mask(
+        [
+            (F.col(f"t{c}") < float("inf"))
+            & (F.abs(F.col(c) + F.col("length") - F.col(f"t{c}")) <= TOLERANCE * F.col(f"t{c}"))
+            for c in d
+        ]
+    )
     return (
         here.join(roads, ["cell", "src"])
-        .join(there, ["cell", "source", "dst"])
-        .where(on_path)
-        .select("cell", "source", "src", "dst", "m")
+        .join(there, ["cell", "dst", "block"])
+        .select("cell", "src", "dst", "block", "m", on.alias("on"))
+        .where(F.col("on") != 0)
     )
 
 
-def _path_counts(network: Network, tight: DataFrame) -> tuple[DataFrame, int]:
-    """Number of shortest paths per (source, vertex) and the round it was final in.
+def _walks(start: DataFrame, tight: DataFrame, name: str, work: WorkTables) -> list[DataFrame]:
+    """``start``, then what it sums up to over tight roads step by step until nothing is left.
 
-    A vertex is final once all its predecessors have sent their counts.
+    ``tight(cell, from, id, block, m, on)`` is directed, without cycles, so the
+    steps end by themselves; entries that have no further road send nothing.
     """
-    zero = F.lit(0).cast("long")
-    needs = tight.groupBy("cell", "source", F.col("dst").alias("id")).agg(F.count("*").alias("need"))
-    start = network.vertices.select(
-        "cell", F.col("id").alias("source"), "id", zero.alias("need"), F.lit(1.0).alias("paths"), zero.alias("round")
-    )
-    waiting = needs.withColumns({"paths": F.lit(0.0), "round": F.lit(None).cast("long")})
-    state = start.unionByName(waiting).withColumn("got", zero)
-    turn = 0
+    x = _lanes(name)
+    passed = [F.when(_bit("on", i), F.col(c) * F.col("m")).otherwise(0.0).alias(c) for i, c in enumerate(x)]
+    some = _some(x)
+    steps = [start]
     while True:
-        turn += 1
-        front = state.where(F.col("round") == turn - 1).select(
-            "cell", "source", F.col("id").alias("src"), "paths"
-        )
-        sent = front.join(tight, ["cell", "source", "src"]).select(
-            "cell",
-            "source",
-            F.col("dst").alias("id"),
-            zero.alias("need"),
-            (F.col("paths") * F.col("m")).alias("paths"),
-            F.lit(None).cast("long").alias("round"),
-            F.lit(1).cast("long").alias("got"),
-        )
-        merged = state.unionByName(sent).groupBy(*STATE).agg(
-            F.sum("need").alias("need"),
-            F.sum("paths").alias("paths"),
-            F.max("round").alias("round"),
-            F.sum("got").alias("got"),
-        )
-        done = F.col("round").isNull() & (F.col("got") == F.col("need"))
-        state = materialize(merged.withColumn("round", F.when(done, turn).otherwise(F.col("round"))), "counts")
-        if state.where(F.col("round") == turn).isEmpty():
-            return state.select(*STATE, "paths", "round"), turn - 1
+        sent = steps[-1].withColumnRenamed("id", "from").join(tight, ["cell", "from", "block"]).select(*ROW, *passed)
+        step = work.keep(_summed([sent], name).where(some), f"walks-{name}")
+        if step.isEmpty():
+            return steps
+        steps.append(step)
+
+
+def _group_dependencies(sources: DataFrame, roads: DataFrame, widths: DataFrame, work: WorkTables) -> DataFrame:
+    """(cell, id, dependency): what the sources of a group add to every vertex.
+
+    With p the number of shortest paths and g = (1 + dependency) / p, Brandes'
+    recursion is g(u) = 1 / p(u) + the sum of m g(v) over tight roads (u, v). So
+    both ways are sums over the walks of one directed graph without cycles.
+    """
+    distances = _distances(sources, roads, widths, work)
+    tight = work.keep(_tight(distances, roads), "tight")
+    p, g = _lanes("p"), _lanes("g")
+    start = sources.select(*ROW, *[F.when(F.col("lane") == i, 1.0).otherwise(0.0).alias(c) for i, c in enumerate(p)])
+    out = tight.withColumnsRenamed({"src": "from", "dst": "id"})
+    counts = work.keep(_summed(_walks(start, out, "p", work), "p"), "counts")
+    ends = counts.select(*ROW, *[F.when(F.col(c) > 0, 1.0 / F.nullif(F.col(c), F.lit(0.0))).otherwise(0.0).alias(h) for c, h in zip(p, g)])
+    back = tight.withColumnsRenamed({"dst": "from", "src": "id"})
+    later = _walks(ends, back, "g", work)[1:]
+    if not later:
+        return sources.select(*VERTEX, F.lit(0.0).alias("dependency"))
+    # a source is no inner vertex of its own paths
+    own = sources.select(*ROW, "lane")
+    both = _summed(later, "g").join(counts, ROW).join(own, ROW, "left")
+    terms = [
+        F.when(F.col("lane").eqNullSafe(F.lit(i)), 0.0).otherwise(F.col(a) * F.col(b))
+        for i, (a, b) in enumerate(zip(g, p))
+    ]
+    return (
+        both.select(*VERTEX, reduce(lambda a, b: a + b, terms).alias("dependency"))
+        .groupBy(*VERTEX)
+        .agg(F.sum("dependency").alias("dependency"))
+    )
+
 
+def weighted_betweenness(
+    network: Network, edges: DataFrame, weight: str, live_rows: int = LIVE_ROWS
+) -> DataFrame:
+    """Exact betweenness with ``1 / weight`` as length, near-equal paths counting as equal.
 
-def weighted_betweenness(network: Network, edges: DataFrame, weight: str) -> DataFrame:
-    """Exact betweenness with ``1 / weight`` as length, near-equal paths counting as equal."""
+    All vertices are sources. Sixteen lie side by side in a row of the search;
+    groups of them follow one another, each leaving one row per vertex, so that
+    the (source, vertex) entries that live at a time follow ``live_rows``.
+    Vertices without a road have 0.
+    """
     roads = materialize(_roads(network, edges, weight), "roads")
-    tight = materialize(_tight(_distances(network, roads), roads), "tight")
-    counts, last = _path_counts(network, tight)
-    back = tight.withColumnsRenamed({"dst": "id"})
-    shares = None
+    widths = roads.select("cell", "width").distinct()
+    entries = network.vertices.agg(F.sum("n").alias("entries")).first()["entries"] or 0
+    groups = max(1, -(-entries // live_rows))
+    placed = positions(network, LANES).withColumnRenamed("bit", "lane")
     total = None
-    for turn in range(last, 0, -1):
-        here = counts.where(F.col("round") == turn)
-        if shares is None:
-            here = here.withColumn("dependency", F.lit(0.0))
-        else:
-            here = here.join(shares, STATE, "left").select(
-                *STATE, "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("dependency")
-            )
-        here = materialize(here.select(*STATE, "paths", "dependency"), "weighted-dependencies")
-        sent = here.join(back, STATE).select(
-            "cell",
-            "source",
-            F.col("src").alias("id"),
-            (F.col("m") * (1 + F.col("dependency")) / F.col("paths")).alias("share"),
-        )
-        shares = sent if shares is None else shares.unionByName(sent)
-        shares = materialize(shares.groupBy(*STATE).agg(F.sum("share").alias("share")), "shares")
-        summed = here.groupBy(*VERTEX).agg(F.sum("dependency").alias("dependency"))
-        total = summed if total is None else total.unionByName(summed)
-    value = F.lit(0.0)
-    result = network.vertices.select(*VERTEX)
-    if total is not None:
-        total = total.groupBy(*VERTEX).agg((F.sum("dependency") / 2).alias("total"))
-        result = result.join(total, VERTEX, "left")
-        value = F.coalesce("total", F.lit(0.0))
-    return result.select(*VERTEX, value.alias("betweenness"))
+    for group in range(groups):
+        own = placed.where(F.pmod("block", F.lit(groups)) == group)
+        with WorkTables(network.vertices.sparkSession) as work:
+            added = _group_dependencies(own, roads, widths, work)
+            if total is not None:
+                added = added.unionByName(total).groupBy(*VERTEX).agg(F.sum("dependency").alias("dependency"))
+            total = materialize(added, "weighted-betweenness")
+    value = F.coalesce("dependency", F.lit(0.0)) / 2
+    return network.vertices.select(*VERTEX).join(total, VERTEX, "left").select(
+        *VERTEX, value.alias("betweenness")
+    )
