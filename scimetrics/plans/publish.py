@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scimetrics.operators.dedupe import ORDER
 from scimetrics.plans import base_tables, collaboration, cooccurrence, disciplines, network, nouns, papers, people
-from scimetrics.sources.writers import write_cells, write_partitioned, write_table
+from scimetrics.sources.writers import write_cells, write_ordered, write_partitioned, write_table
 
 
 class Folder:
@@ -42,7 +42,7 @@ def write_datasets(
     ``raw`` is the flat frame with row order, the others are the side tables as
     they are read. A later table reads earlier ones from the folder, never the
     flat frame. Tables that the order of rows matters for keep ``_seq``.
-    Sorted output is sorted inside its files.
+    Sorted output is in total order over its files, read by name.
     """
     out = Folder(spark, folder)
     authors = out.save("authors", base_tables.authors(raw))
@@ -62,9 +62,7 @@ def write_datasets(
     extra = out.save("authors_extra", extra)
     summary = out.save("papers_summary", papers.papers_summary(paper, paa, fields, affiliations))
     write_table(papers.venue_counts(summary), f"{out.path}/venue_counts")
-    by_gender = people.papers_gender(paa, extra)
-    by_gender = by_gender.hint("rebalance").sortWithinPartitions("paper_id", "name_gender")
-    write_table(by_gender, f"{out.path}/papers_gender")
+    write_ordered(people.papers_gender(paa, extra), f"{out.path}/papers_gender", ["paper_id", "name_gender"])
     write_table(people.gender_totals(out.read("papers_gender")), f"{out.path}/gender_totals")
 
     pairs = out.save("collab_authors", collaboration.collab_authors(paa, paper))

@@ -103,6 +103,18 @@ def rejected_nouns(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length): files that ``read_nouns`` skips as a whole, because no line of them can be read.
+
+    Empty files are no skipped files. A file that breaks off later keeps the
+    rows before that point and is not listed.
+    """
+    name = F.col("_metadata.file_path").alias("file")
+    listed = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select(name, "length")
+    lenient = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    return listed.join(lenient.text(path).select(name).distinct(), "file", "left_anti")
+
+
 def read_labelled(spark: SparkSession, path: str, suffix: str, label: str) -> DataFrame:
     """A folder of Parquet files as one table; the file name gives the ``label`` column."""
     df = spark.read.option("recursiveFileLookup", True).parquet(path)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from scimetrics.operators.joins import join_na
 
@@ -16,6 +17,20 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: Sequence[str | Column]) -> None:
+    """One table in total order: its files, read by name, are sorted by ``order``.
+
+    The remaining columns break ties, so that the ranges also cut the rows of
+    one frequent value; only rows equal in all columns stay together.
+    """
+    _ranged(df, order).write.mode("overwrite").parquet(path)
+
+
+def _ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    named = {c for c in order if isinstance(c, str)}
+    return df.orderBy(*order, *[F.col(f"`{c}`") for c in df.columns if c not in named])
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
     """One folder per value of ``by``.
 
@@ -30,12 +45,12 @@ def write_cells(
 ) -> None:
     """Write the cells present in ``df`` and leave the other cells of the folder alone.
 
-    ``sort`` orders the rows inside each file.
+    With ``sort`` each cell is in total order over its files, read by name; a
+    cell with most of the rows is cut into several ranges.
     """
+    laid_out = _ranged(df, [*by, *sort]) if sort else df.hint("rebalance", *by).sortWithinPartitions(*by)
     (
-        df.hint("rebalance", *by)
-        .sortWithinPartitions(*by, *sort)
-        .write.mode("overwrite")
+        laid_out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
         .parquet(path)

@@ -47,6 +47,47 @@ def test_rejected_rows_are_counted(spark, tmp_path):
     assert rows(readers.read_nouns(spark, str(tmp_path))) == [(1, "cell", 2), (2, "water", 1)]
 
 
+def test_skipped_files_are_listed(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("paper_id,lemma,n\n1,cell,2\n")
+    (tmp_path / "2.csv.gz").write_bytes(b"no gzip data")
+    (tmp_path / "3.csv").write_text("")
+    (found,) = readers.skipped_files(spark, str(tmp_path)).collect()
+    assert found.file.endswith("2.csv.gz") and found.length == 12
+    assert rows(readers.read_nouns(spark, str(tmp_path))) == [(1, "cell", 2)]
+
+
+def files_in_order(spark, folder):
+    return [[tuple(r) for r in spark.read.parquet(str(f)).collect()] for f in sorted(folder.glob("*.parquet"))]
+
+
+def test_ordered_files_are_one_sorted_table(spark, tmp_path):
+    df = spark.range(4000).selectExpr("if(id % 3 = 0, 7, id % 50) AS a", "hash(id) AS b", "id")
+    shuffled = df.repartition(5)
+    with_one_file_per_range = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in with_one_file_per_range}
+    for key, value in with_one_file_per_range.items():
+        spark.conf.set(key, value)
+    try:
+        writers.write_ordered(shuffled, str(tmp_path / "t"), [F.desc("a")])
+        writers.write_cells(
+            shuffled.selectExpr("'f' AS field", "if(a = 7, 'hot', 'rest') AS quin", "b", "id"),
+            str(tmp_path / "c"),
+            sort=[F.desc("b")],
+        )
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = files_in_order(spark, tmp_path / "t")
+    together = [r for f in files for r in f]
+    assert len(together) == 4000
+    assert together == sorted(together, key=lambda r: (-r[0], r[1], r[2]))
+    assert sum(any(r[0] == 7 for r in f) for f in files) > 1
+    for cell in ("hot", "rest"):
+        parts = files_in_order(spark, tmp_path / "c" / "field=f" / f"quin={cell}")
+        values = [r[0] for f in parts for r in f]
+        assert len(parts) > 1 and values == sorted(values, reverse=True)
+
+
 def test_equal_file_names_keep_their_order(spark, tmp_path):
     df = spark.createDataFrame([(1, a) for a in range(4)], "PaperID long, AuthorID long")
     for name, part in (("a", df.where("AuthorID < 2")), ("b", df.where("AuthorID >= 2"))):
