@@ -9,6 +9,7 @@ from scimetrics.functions.periods import PERIODS, bounds, period_by_breaks
 from scimetrics.functions.wordlists import STOPWORDS
 from scimetrics.operators.joins import join_na, without_words
 from scimetrics.operators.ranking import top_k_ties
+from scimetrics.session import materialize
 
 
 def top_cooccurrence(
@@ -20,7 +21,8 @@ def top_cooccurrence(
     different target lemma yields n_l * (T - n_l if l is a target, else T) pairs
     per paper, T being the paper's target occurrences. Summed over papers this is
     sum(n * T) minus the squares of the target counts, so no pair is ever formed
-    and the noun rows shuffle only as partial sums per lemma.
+    and the noun rows shuffle only as partial sums per lemma. The noun rows and
+    the sums are written once, as several steps read each.
     """
     cell = ["file_field", "quin"]
     lowered = field_nouns.select(
@@ -35,6 +37,7 @@ def top_cooccurrence(
         "lemma",
         F.col("n").cast("long").alias("n"),
     )
+    dated = materialize(dated, "cooccurring-nouns")
     # papers that only contain the stem inside a word have no target and no pair
     targets = (
         dated.where(F.col("lemma").startswith(stem))
@@ -52,6 +55,7 @@ def top_cooccurrence(
         .agg(F.sum("pairs").alias("freq"))
         .where(F.col("freq") > 0)
     )
+    pairs = materialize(pairs, "cooccurrences")
     return top_k_ties(pairs, ["file_field", "quin"], "freq", k).select(
         "quin",
         F.lit(label).alias("lemma_1"),
