@@ -5,8 +5,9 @@ from pathlib import Path
 import pytest
 
 from scimetrics import registry
-from scimetrics.operators.graph import centrality, krylov
+from scimetrics.operators.graph import centrality, krylov, paths
 from scimetrics.operators.graph.network import build_network
+from scimetrics.session import materialize
 from scimetrics.sources.testdata import Inputs
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,3 +35,51 @@ def test_krylov_state_holds_two_vectors(spark, monkeypatch):
     centrality.eigenvector(network).collect()
     assert len(held) > 5
     assert max(held) <= 2 * 8 * 8
+
+
+def test_search_shuffles_two_columns_of_bits(spark, monkeypatch):
+    made = []
+
+    def watched(df, label):
+        made.append((label, df.columns))
+        return materialize(df, label)
+
+    monkeypatch.setattr(paths, "materialize", watched)
+    wheel = [("f", "q", k, (k + 1) % 150) for k in range(150)] + [("f", "q", 0, 0)]
+    network = build_network(spark.createDataFrame(wheel, "field string, quin string, from long, to long"))
+    for words in (1, 3):
+        got = {r["id"]: r.asDict() for r in paths.reach(network, words=words).collect()}
+        assert set(got) == set(range(150))
+        expected = {"reached": 149, "distance": 2 * 74 * 75 // 2 + 75, "eccentricity": 75, "within_1": 3, "within_2": 5}
+        assert all({k: r[k] for k in expected} == expected for r in got.values())
+    assert not any("distance" in columns for _, columns in made)
+    made.clear()
+    paths.reach(network, max_hops=2).collect()
+    assert [label for label, _ in made] == ["positions", "reach-1"]
+
+
+@tables
+def test_edges_build_the_flat_frame_once_more(spark):
+    # the years and the rows of the papers are written; the fields are read from the frame
+    assert flat_frames(registry._edges(Inputs(spark, FOLDER))) == 1
+
+
+@tables
+def test_noun_steps_read_written_tables(spark):
+    inputs = Inputs(spark, FOLDER)
+    assert flat_frames(inputs.field_nouns) == 3
+    assert flat_frames(registry._top_cooccurrence(inputs)) == 0
+    assert flat_frames(registry.DATASETS["top_nouns"](inputs)) == 0
+
+
+@tables
+def test_narrow_tables_carry_no_other_columns(spark):
+    plans = {
+        "papers_summary": ("official_page", "hit_1pct"),
+        "collab_institutions": ("doi", "original_venue"),
+        "field_grid": ("doi", "hit_1pct"),
+        "field_nouns": ("doi", "hit_1pct"),
+    }
+    for name, unused in plans.items():
+        plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [column for column in unused if f"{column}#" in plan], name
