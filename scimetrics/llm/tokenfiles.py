@@ -11,8 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -39,6 +38,25 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)(?:\n([{_LETTERS}]+)([.,;:!?]*))?")
 
 
+class Pieces(dict):
+    """Ids of known pieces. A missing one is learned when it is asked for; an odd one is noted and empty until then."""
+
+    def __init__(self, learn: Callable[[str, Pieces], bytes | None]) -> None:
+        super().__init__({"": b""})
+        self.learn = learn
+        self.odd: dict[str, None] = {}
+        self.missed = False
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.learn(piece, self)
+        if ids is None:
+            self.odd[piece] = None
+            self.missed = True
+            return b""
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts, each distinct stretch between blanks going to the tokenizer once.
 
@@ -65,7 +83,7 @@ class Encoder:
                 raise ValueError(f"the added token {token.content!r} could be divided")
             self.bytes[i] = len(token.content.encode())
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.code = np.dtype(self.kind).char
+        self.packed = [self.kind(i).tobytes() for i in range(size)]
         self.model = self.tokenizer.model
         letters = [c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c)]
         # the spelling of each letter, of a blank and of a line feed in the vocabulary
@@ -74,15 +92,16 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.after: dict[str, bytes] = {"": b""}  # of stretches behind a blank, which is encoded with them
-        self.first: dict[str, bytes] = {"": b""}  # of stretches without one
+        self.after = Pieces(self._learned)  # of stretches behind a blank, which is encoded with them
+        self.first = Pieces(self._learned)  # of stretches without one
 
-    def _letters(self, word: str, known: dict[str, bytes]) -> bytes:
+    def _letters(self, word: str, known: Pieces) -> bytes:
         """Ids of one pre-token of letters, with a blank before it or not."""
         if word not in known:
-            spelled = word.translate(self.spelling)
+            # plain letters spell themselves
+            spelled = word if word.isascii() else word.translate(self.spelling)
             found = self.model.tokenize(self.blank + spelled if known is self.after else spelled)
-            known[word] = array(self.code, [t.id for t in found]).tobytes()
+            known[word] = b"".join([self.packed[t.id] for t in found])
         return known[word]
 
     def _marks(self, marks: str) -> bytes:
@@ -91,27 +110,25 @@ class Encoder:
             self.first[marks] = np.array(ids, self.kind).tobytes()
         return self.first[marks]
 
-    def _learn(self, pieces: list[str], known: dict[str, bytes]) -> None:
-        odd, lead = [], self.blank if known is self.after else ""
-        tokenize, code = self.model.tokenize, self.code
-        for piece in pieces:
-            if piece.isascii() and piece.isalpha():
-                # such letters spell themselves
-                known[piece] = array(code, [t.id for t in tokenize(lead + piece)]).tobytes()
-                continue
-            plain = _PLAIN.fullmatch(piece)
-            if plain is None:
-                odd.append(piece)
-                continue
-            word, marks, second, more = plain.groups()
-            ids = self._letters(word, known)
-            if marks:
-                ids += self._marks(marks)
-            if second:
-                ids += self._marks("\n") + self._letters(second, self.first)
-                if more:
-                    ids += self._marks(more)
-            known[piece] = ids
+    def _learned(self, piece: str, known: Pieces) -> bytes | None:
+        """Ids of a piece of letters and marks; None for an odd one, which goes to the tokenizer with others."""
+        if piece.isascii() and piece.isalpha():
+            return self._letters(piece, known)
+        plain = _PLAIN.fullmatch(piece)
+        if plain is None:
+            return None
+        word, marks, second, more = plain.groups()
+        ids = self._letters(word, known)
+        if marks:
+            ids += self._marks(marks)
+        if second:
+            ids += self._marks("\n") + self._letters(second, self.first)
+            if more:
+                ids += self._marks(more)
+        return ids
+
+    def _learn_odd(self, known: Pieces) -> None:
+        odd = list(known.odd)
         for at in range(0, len(odd), JOINED_PIECES):
             part = odd[at : at + JOINED_PIECES]
             if known is self.after:
@@ -119,6 +136,7 @@ class Encoder:
             else:
                 coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
                 known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, coded))
+        known.odd.clear()
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of the pieces, each behind a blank, from encoding them as one text."""
@@ -137,22 +155,24 @@ class Encoder:
         """Ids of every text as packed numbers of ``kind``."""
         if len(self.after) + len(self.first) > KNOWN_PIECES:
             self._forget()
-        first, rest = [], []
+        first, after = self.first, self.after
+        done: list[bytes] = []
+        again: list[tuple[int, str, list[str]]] = []
         for text in texts:
             if _OTHER_BLANKS.search(text):
                 head, *tail = _CUT.split(text)
                 tail = [p[1:] for p in tail]
             else:
                 head, *tail = text.split(" ")
-            first.append(head)
-            rest.append(tail)
-        fresh: set[str] = set()
-        for tail in rest:
-            fresh.update(tail)
-        self._learn([p for p in fresh if p not in self.after], self.after)
-        self._learn([p for p in dict.fromkeys(first) if p not in self.first], self.first)
-        known = self.after.__getitem__
-        return [self.first[head] + b"".join(map(known, tail)) for head, tail in zip(first, rest)]
+            first.missed = after.missed = False
+            done.append(first[head] + b"".join(map(after.__getitem__, tail)))
+            if first.missed or after.missed:
+                again.append((len(done) - 1, head, tail))
+        self._learn_odd(first)
+        self._learn_odd(after)
+        for at, head, tail in again:
+            done[at] = first[head] + b"".join(map(after.__getitem__, tail))
+        return done
 
 
 @lru_cache(maxsize=2)

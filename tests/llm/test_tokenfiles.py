@@ -74,6 +74,18 @@ def test_forgotten_pieces(monkeypatch, tokenizer):
             assert np.frombuffer(packed, code.kind).tolist() == tokenizer.encode(text).ids
 
 
+def test_odd_pieces_are_learned_together(tokenizer, monkeypatch):
+    code, asked = tokenfiles.Encoder(BYTE_VOCABULARY), []
+    joined = code._joined
+    monkeypatch.setattr(code, "_joined", lambda pieces: asked.append(pieces) or joined(pieces))
+    texts = ["plain words, only", "x1 y2 plain", "a x1 b", "3d words y2", "x1 don't"]
+    for _ in range(2):
+        for text, packed in zip(texts, code.encode(texts)):
+            assert np.frombuffer(packed, code.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert [sorted(pieces) for pieces in asked] == [["don't", "x1", "y2"]]
+    assert not code.after.odd and not code.first.odd
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
