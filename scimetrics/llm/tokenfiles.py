@@ -11,11 +11,14 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,41 +33,60 @@ from scimetrics.session import materialize, new_path
 SHARD_TOKENS = 1 << 21
 KNOWN_PIECES = 1_000_000
 JOINED_PIECES = 5_000
-# a byte-level pre-token never goes on over a blank that a visible character follows
-_CUT = re.compile(r"(?= \S)")
-_OTHER_BLANKS = re.compile(r" (?=\s|\Z)")
-# nor from a letter to a mark, nor over a single line feed between them
+SLICE_CHARS = 4_000_000
+# no byte-level pre-token goes on over a blank that a visible character follows, nor over a line feed behind one
+_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n)")
+# nor from a letter to a mark, nor over a single line feed between visible characters
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(rf"([{_LETTERS}]+)([.,;:!?]*)(?:\n([{_LETTERS}]+)([.,;:!?]*))?")
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"(\n?)([{_LETTERS}]+)([{_MARKS}]*)")
+_PLAIN_GROUPS = rf"^(?P<line>\n?)(?P<word>[{_LETTERS}]+)(?P<marks>[{_MARKS}]*)$"
+_DIVIDED = re.compile(rf"[{_LETTERS}]+[{_MARKS}]+")
 
 
 class Pieces(dict):
-    """Ids of known pieces. A missing one is learned when it is asked for; an odd one is noted and empty until then."""
+    """Numbers of known pieces. A missing one is numbered and noted; odd ones are those that the whole tokenizer encodes."""
 
-    def __init__(self, learn: Callable[[str, Pieces], bytes | None]) -> None:
-        super().__init__({"": b""})
-        self.learn = learn
-        self.odd: dict[str, None] = {}
-        self.missed = False
+    def __init__(self, numbers: Iterator[int]) -> None:
+        super().__init__()
+        self.numbers = numbers
+        self.new: list[str] = []
+        self.odd: list[str] = []
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.learn(piece, self)
-        if ids is None:
-            self.odd[piece] = None
-            self.missed = True
-            return b""
-        self[piece] = ids
-        return ids
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = next(self.numbers)
+        self.new.append(piece)
+        return number
+
+
+def _grown(array: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(array):
+        return array
+    longer = np.zeros(max(size, 2 * len(array)), array.dtype)
+    longer[: len(array)] = array
+    return longer
+
+
+def _strings(values: pa.Array) -> list[str]:
+    """``values.to_pylist()``, several times as fast."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gathered(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` of these beginnings and sizes, one after the other."""
+    at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+    at += np.arange(len(at))
+    return values[at]
 
 
 class Encoder:
-    """Ids of whole texts, each distinct stretch between blanks going to the tokenizer once.
+    """Ids of whole texts, each distinct stretch between blanks and line feeds going to the tokenizer once.
 
     Made for byte-level BPE: the cuts lie between two pre-tokens of any text. A
     stretch of letters is one pre-token and goes to the tokenizer's model alone;
-    other stretches are encoded as one text, and the ids of each are told apart by
-    the bytes that its tokens spell. Added tokens with a spelling that a cut could
-    divide are refused.
+    others are encoded as one text, and the ids of each are told apart by the bytes
+    that its tokens spell. Added tokens with a spelling that a cut could divide are
+    refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,99 +101,184 @@ class Encoder:
         spelled = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = np.array([len(s) for s in spelled], np.int64)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            if re.search(r"[\s.,;:!?]", token.content) or token.lstrip or token.rstrip or token.content.isalpha():
-                raise ValueError(f"the added token {token.content!r} could be divided")
-            self.bytes[i] = len(token.content.encode())
+            content, strips = token.content, token.lstrip or token.rstrip
+            if re.search(r"[\s.,;:!?]", content) or strips or content.isalpha() or _DIVIDED.fullmatch(content):
+                raise ValueError(f"the added token {content!r} could be divided")
+            self.bytes[i] = len(content.encode())
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.packed = [self.kind(i).tobytes() for i in range(size)]
         self.model = self.tokenizer.model
         letters = [c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c)]
-        # the spelling of each letter, of a blank and of a line feed in the vocabulary
+        # the spelling of each letter and of a blank in the vocabulary
         self.spelling = {ord(c): split.pre_tokenize_str(c)[0][0] for c in letters}
         self.blank = split.pre_tokenize_str(" ")[0][0]
+        self._line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.after = Pieces(self._learned)  # of stretches behind a blank, which is encoded with them
-        self.first = Pieces(self._learned)  # of stretches without one
-
-    def _letters(self, word: str, known: Pieces) -> bytes:
-        """Ids of one pre-token of letters, with a blank before it or not."""
-        if word not in known:
-            # plain letters spell themselves
-            spelled = word if word.isascii() else word.translate(self.spelling)
-            found = self.model.tokenize(self.blank + spelled if known is self.after else spelled)
-            known[word] = b"".join([self.packed[t.id] for t in found])
-        return known[word]
-
-    def _marks(self, marks: str) -> bytes:
-        if marks not in self.first:
-            ids = self.tokenizer.encode(marks, add_special_tokens=False).ids
-            self.first[marks] = np.array(ids, self.kind).tobytes()
-        return self.first[marks]
-
-    def _learned(self, piece: str, known: Pieces) -> bytes | None:
-        """Ids of a piece of letters and marks; None for an odd one, which goes to the tokenizer with others."""
-        if piece.isascii() and piece.isalpha():
-            return self._letters(piece, known)
-        plain = _PLAIN.fullmatch(piece)
-        if plain is None:
-            return None
-        word, marks, second, more = plain.groups()
-        ids = self._letters(word, known)
-        if marks:
-            ids += self._marks(marks)
-        if second:
-            ids += self._marks("\n") + self._letters(second, self.first)
-            if more:
-                ids += self._marks(more)
-        return ids
-
-    def _learn_odd(self, known: Pieces) -> None:
-        odd = list(known.odd)
-        for at in range(0, len(odd), JOINED_PIECES):
-            part = odd[at : at + JOINED_PIECES]
-            if known is self.after:
-                known.update(zip(part, self._joined(part)))
-            else:
-                coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                known.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, coded))
-        known.odd.clear()
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of the pieces, each behind a blank, from encoding them as one text."""
+        numbers = count()
+        self.after = Pieces(numbers)  # of stretches behind a blank, which is encoded with them, or from a line feed on
+        self.first = Pieces(numbers)  # of stretches encoded as they are
+        self.ids = np.empty(0, self.kind)
+        self.held = 0
+        self.begin = np.zeros(1, np.int64)
+        self.size = np.zeros(1, np.int64)
+        self.first[""] = next(numbers)  # 0, without ids
+
+    def _keep(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        top, end = max(numbers) + 1, self.held + len(ids)
+        self.begin, self.size, self.ids = _grown(self.begin, top), _grown(self.size, top), _grown(self.ids, end)
+        self.ids[self.held : end] = ids
+        self.begin[numbers] = self.held + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.held = end
+
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of these numbers, one after the other, and how many each has."""
+        sizes = self.size[numbers]
+        return _gathered(self.ids, self.begin[numbers], sizes), sizes
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, each behind a blank, from encoding them as one text, and how many each has."""
         text = "".join([f" {p}" for p in pieces])
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum(self.bytes[ids])
-        size = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = np.searchsorted(ends, size)
-        if not np.array_equal(ends[np.minimum(cuts, len(ends) - 1)], size):
+        ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) + 1 for p in pieces])
+        last = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], wanted):
             raise ValueError("a token reaches over a blank")
-        raw = ids.astype(self.kind).tobytes()
-        bounds = [0, *((cuts + 1) * np.dtype(self.kind).itemsize).tolist()]
-        return [raw[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        return ids, np.diff(last + 1, prepend=0)
+
+    def _spelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of letters, given as the vocabulary spells them, from the model, and how many each has."""
+        ids: list[int] = []
+        ends = []
+        for word in words:
+            ids += [t.id for t in self.model.tokenize(word)]
+            ends.append(len(ids))
+        return np.array(ids), np.diff(ends, prepend=0)
+
+    def _learn(self) -> None:
+        """Ids of the noted pieces: of words from the model, of odd ones from the tokenizer, of others from their parts."""
+        after, first = self.after, self.first
+        words: list[str] = []
+        of_words: list[int] = []
+        parts: list[int] = []
+        of_parts: list[int] = []
+        unsound: list[int] = []
+        for known, blank in ((after, self.blank), (first, "")):
+            for piece in known.new:  # grows by the words and marks that are met
+                if piece.isascii() and piece.isalpha():
+                    words.append(blank + piece)  # plain letters spell themselves
+                    of_words.append(known[piece])
+                elif plain := _PLAIN.fullmatch(piece):
+                    line, word, marks = plain.groups()
+                    if line or marks:
+                        of_parts.append(known[piece])
+                        parts += first[line], (first if line else known)[word], first[marks]
+                    else:
+                        words.append(blank + word.translate(self.spelling))
+                        of_words.append(known[piece])
+                elif known is first:
+                    first.odd.append(piece)
+                elif piece != "\n" and (not piece or piece[-1].isspace() or piece[0].isspace() and piece[0] != "\n"):
+                    unsound.append(after[piece])
+                elif piece[0] == "\n":
+                    of_parts.append(after[piece])
+                    line = "" if piece[1:2].isspace() else "\n"
+                    parts += first[line], first[piece[len(line) :]], 0
+                else:
+                    after.odd.append(piece)
+            known.new.clear()
+        if words:
+            self._keep(of_words, *self._spelled(words))
+        for i in range(0, len(after.odd), JOINED_PIECES):
+            odd = after.odd[i : i + JOINED_PIECES]
+            self._keep([after[p] for p in odd], *self._joined(odd))
+        for i in range(0, len(first.odd), JOINED_PIECES):
+            odd = first.odd[i : i + JOINED_PIECES]
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self._keep([first[p] for p in odd], np.concatenate(coded), np.array(list(map(len, coded))))
+        after.odd.clear()
+        first.odd.clear()
+        if of_parts:
+            ids, sizes = self._ids(np.array(parts))
+            self._keep(of_parts, ids, sizes.reshape(-1, 3).sum(1))
+        if unsound:
+            self._keep(unsound, self.ids[:0], np.zeros(len(unsound), np.int64))
+            self.size[unsound] = -1
+
+    def _numbers(self, pieces: pa.Array, known: Pieces) -> np.ndarray:
+        """Numbers of pieces; each distinct one is looked up once."""
+        coded = pieces.dictionary_encode()
+        numbers = np.array([known[p] for p in _strings(coded.dictionary)], np.int64)
+        return numbers[coded.indices.to_numpy()]
+
+    def _parts(self, pieces: pa.Array) -> np.ndarray:
+        """Three numbers for each piece: line feed, word and marks of a plain one; an odd one stands for itself."""
+        found = pc.extract_regex(pieces, _PLAIN_GROUPS)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(pieces), 3), np.int64)
+        line, word, marks = (pc.struct_field(found, name) for name in ("line", "word", "marks"))
+        fed = plain & pc.equal(line, "\n").fill_null(False).to_numpy(zero_copy_only=False)
+        parts[fed, 0] = self.first["\n"]
+        for rows, known in ((fed, self.first), (plain & ~fed, self.after)):
+            parts[rows, 1] = self._numbers(word.filter(pa.array(rows)), known)
+        parts[plain, 2] = self._numbers(marks.filter(pa.array(plain)), self.first)
+        parts[~plain, 1] = [self.after[p] for p in _strings(pieces.filter(pa.array(~plain)))]
+        return parts
+
+    def _whole(self, texts: list[str]) -> list[bytes | None]:
+        """Ids of texts in which blanks and line feeds stand alone, so that each is a cut; None if it turns out otherwise."""
+        # a line feed in front makes the head a piece like others
+        lines = pc.replace_substring(pa.array([f"\n{t}" for t in texts], pa.large_string()), "\n", " \n")
+        cut = pc.split_pattern(lines, " ")
+        coded = cut.values.dictionary_encode()
+        at, ends = coded.indices.to_numpy(), cut.offsets.to_numpy()[1:]
+        parts = self._parts(coded.dictionary)
+        self._learn()
+        unsound = (self.size[parts] < 0).any(1)
+        parts[unsound] = 0
+        ids, sizes = self._ids(parts.ravel())
+        sizes = sizes.reshape(-1, 3).sum(1)
+        own = sizes[at]
+        packed = _gathered(ids, (np.cumsum(sizes) - sizes)[at], own).tobytes()
+        width = np.dtype(self.kind).itemsize
+        bounds = (np.concatenate([[0], np.cumsum(own)[ends - 1]]) * width).tolist()
+        skip = len(self._line) * width
+        done: list[bytes | None] = [packed[a + skip : b] for a, b in zip(bounds[:-1], bounds[1:])]
+        # the empty piece before the line feed in front of each text is no sign of another blank
+        wrong = unsound[at]
+        wrong[cut.offsets.to_numpy()[:-1]] = False
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(wrong), "right")).tolist():
+            done[i] = None
+        return done
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts."""
+        rows = []
+        for text in texts:
+            head, *tail = _CUT.split(text)
+            row = [self.first[head]]
+            for piece in tail:
+                if piece[-1].isspace():
+                    row.append(self.first[piece])
+                else:
+                    row.append(self.after[piece[1:] if piece[0] == " " else piece])
+            rows.append(row)
+        self._learn()
+        return [self._ids(np.array(row))[0].tobytes() for row in rows]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as packed numbers of ``kind``."""
         if len(self.after) + len(self.first) > KNOWN_PIECES:
             self._forget()
-        first, after = self.first, self.after
-        done: list[bytes] = []
-        again: list[tuple[int, str, list[str]]] = []
-        for text in texts:
-            if _OTHER_BLANKS.search(text):
-                head, *tail = _CUT.split(text)
-                tail = [p[1:] for p in tail]
-            else:
-                head, *tail = text.split(" ")
-            first.missed = after.missed = False
-            done.append(first[head] + b"".join(map(after.__getitem__, tail)))
-            if first.missed or after.missed:
-                again.append((len(done) - 1, head, tail))
-        self._learn_odd(first)
-        self._learn_odd(after)
-        for at, head, tail in again:
-            done[at] = first[head] + b"".join(map(after.__getitem__, tail))
+        done: list[bytes | None] = [None] * len(texts)
+        whole = [i for i, t in enumerate(texts) if not (t[:1].isspace() or "  " in t or "\n\n" in t)]
+        if whole:
+            for i, packed in zip(whole, self._whole([texts[i] for i in whole])):
+                done[i] = packed
+        rest = [i for i, packed in enumerate(done) if packed is None]
+        for i, packed in zip(rest, self._cut([texts[i] for i in rest])):
+            done[i] = packed
         return done
 
 
@@ -198,7 +305,7 @@ def _shards(batches: Iterator[pd.DataFrame], path: str, end_id: int | None, limi
     for batch in batches:
         texts, missing = batch["text"].tolist(), batch["no_id"].tolist()
         own = batch["doc_id"].tolist()
-        for rows in text_slices(texts):
+        for rows in text_slices(texts, SLICE_CHARS):
             for at, packed in zip(range(len(texts))[rows], code.encode(texts[rows])):
                 packed += end
                 parts.append(packed)

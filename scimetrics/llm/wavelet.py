@@ -14,8 +14,9 @@ from collections import OrderedDict
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 
-MAGIC = b"TOKWM\x01"
+MAGIC = b"TOKWM\x02"
 BLOCK_BITS = 1 << 16
 OPEN_BLOCKS = 128
 _HEAD = struct.Struct("<6sHQQQQQQ")
@@ -29,11 +30,13 @@ def _planes(symbols: np.ndarray, levels: int) -> tuple[list[int], list[np.ndarra
     """Zeros and packed bits of every plane, from the highest bit down."""
     zeros, planes = [], []
     for level in range(levels - 1, -1, -1):
-        bit = (symbols >> symbols.dtype.type(level) & symbols.dtype.type(1)).astype(bool)
+        bit = (symbols & symbols.dtype.type(1 << level)) != 0
         planes.append(np.packbits(bit, bitorder="little"))
-        low = symbols[~bit]
+        # gathering at positions is several times as fast as by mask where the bits alternate
+        low = np.flatnonzero(~bit)
         zeros.append(len(low))
-        symbols = np.concatenate([low, symbols[bit]])
+        if level:
+            symbols = np.concatenate([symbols.take(low), symbols.take(np.flatnonzero(bit))])
     return zeros, planes
 
 
@@ -66,7 +69,7 @@ def write_shard(
         before = 0
         for i in range(0, len(plane), block):
             raw = plane[i : i + block]
-            packed = zlib.compress(raw.tobytes(), 1)
+            packed = pa.compress(raw.tobytes(), "zstd", asbytes=True)
             blocks.append(packed)
             at += len(packed)
             ends.append(at)
@@ -110,7 +113,9 @@ class TokenShard:
     def _raw(self, level: int, block: int) -> np.ndarray:
         k = level * self.per_plane + block
         begin = self.base + (int(self.ends[k - 1]) if k else 0)
-        return np.frombuffer(zlib.decompress(self.data[begin : self.base + int(self.ends[k])]), np.uint8)
+        size = (min(BLOCK_BITS, self.n - block * BLOCK_BITS) + 7) // 8
+        packed = self.data[begin : self.base + int(self.ends[k])]
+        return np.frombuffer(pa.decompress(packed, size, "zstd", asbytes=True), np.uint8)
 
     def _block(self, level: int, block: int) -> tuple[np.ndarray, np.ndarray]:
         """Bits of a block and the ones before each of them; the least recently used is closed."""
@@ -201,7 +206,7 @@ class TokenShard:
             raw = [self._raw(level, b) for b in range(self.per_plane)]
             bit = np.unpackbits(np.concatenate(raw), count=self.n, bitorder="little").astype(bool)
             above = np.empty_like(code)
-            above[~bit] = code[: self.zeros[level]]
-            above[bit] = code[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
+            above[np.flatnonzero(~bit)] = code[: self.zeros[level]]
+            above[np.flatnonzero(bit)] = code[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             code = above
         return self.alphabet.astype(np.uint32)[code]

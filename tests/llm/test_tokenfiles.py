@@ -86,6 +86,29 @@ def test_odd_pieces_are_learned_together(tokenizer, monkeypatch):
     assert not code.after.odd and not code.first.odd
 
 
+def test_known_pieces_grow_with_words_not_with_their_marks_and_lines(tokenizer, monkeypatch):
+    words, marks = ["river", "Été", "niño", "q", "Stone"], ["", ".", "),", "...", "$$$", '"']
+    texts = [f"{v}{m}\n{w}{n} {w}{m}" for v in words for w in words for m in marks for n in marks]
+    code, asked = tokenfiles.Encoder(BYTE_VOCABULARY), []
+    spelled, joined = code._spelled, code._joined
+    monkeypatch.setattr(code, "_spelled", lambda pieces: asked.extend(pieces) or spelled(pieces))
+    monkeypatch.setattr(code, "_joined", lambda pieces: asked.extend(pieces) or joined(pieces))
+    for text, packed in zip(texts, code.encode(texts)):
+        assert np.frombuffer(packed, code.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == 2 * len(words)
+    # an unsound empty piece and the line feed, once more as a piece of its own, come on top
+    assert len(code.after) + len(code.first) <= 2 * len(words) + len(marks) + 3
+
+
+def test_runs_of_white_space_between_known_pieces(tokenizer):
+    code = tokenfiles.Encoder(BYTE_VOCABULARY)
+    gaps = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", " \t", "\n\t", "\t\n", "\n\n\n", "\xa0", " \xa0", "\x1c\n", "\r\n", ""]
+    texts = [f"{a}one{b}two{c}" for a in gaps for b in gaps for c in gaps]
+    for _ in range(2):
+        for text, packed in zip(texts, code.encode(texts)):
+            assert np.frombuffer(packed, code.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
