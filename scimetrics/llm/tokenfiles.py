@@ -34,8 +34,9 @@ SHARD_TOKENS = 1 << 21
 KNOWN_PIECES = 1_000_000
 JOINED_PIECES = 5_000
 SLICE_CHARS = 4_000_000
-# no byte-level pre-token goes on over a blank that a visible character follows, nor over a line feed behind one
-_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n)")
+# a byte-level pre-token never goes on over a blank that a visible character follows
+_CUT = re.compile(r" (?=\S)")
+_OTHER_BLANKS = re.compile(r" (?=\s|\Z)")
 # nor from a letter to a mark, nor over a single line feed between visible characters
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!-&(-/:-@\[-`{-~"
@@ -101,10 +102,13 @@ class Encoder:
         spelled = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.bytes = np.array([len(s) for s in spelled], np.int64)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            content, strips = token.content, token.lstrip or token.rstrip
-            if re.search(r"[\s.,;:!?]", content) or strips or content.isalpha() or _DIVIDED.fullmatch(content):
+            content, bound = token.content, token.lstrip or token.rstrip or token.single_word
+            if re.search(r"[\s.,;:!?]", content) or bound or content.isalpha() or _DIVIDED.fullmatch(content):
                 raise ValueError(f"the added token {content!r} could be divided")
             self.bytes[i] = len(content.encode())
+        # two line feeds are two pre-tokens only before a visible character that is no added token's
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs = ["\n\n\n", "\n\n ", *[f"\n\n{content}" for content in added]]
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.model = self.tokenizer.model
         letters = [c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c)]
@@ -116,7 +120,7 @@ class Encoder:
 
     def _forget(self) -> None:
         numbers = count()
-        self.after = Pieces(numbers)  # of stretches behind a blank, which is encoded with them, or from a line feed on
+        self.after = Pieces(numbers)  # of stretches behind a blank, which is encoded with them, or from one line feed on
         self.first = Pieces(numbers)  # of stretches encoded as they are
         self.ids = np.empty(0, self.kind)
         self.held = 0
@@ -179,12 +183,11 @@ class Encoder:
                         of_words.append(known[piece])
                 elif known is first:
                     first.odd.append(piece)
-                elif piece != "\n" and (not piece or piece[-1].isspace() or piece[0].isspace() and piece[0] != "\n"):
+                elif piece != "\n" and (not piece or piece[-1].isspace() or piece.removeprefix("\n")[0].isspace()):
                     unsound.append(after[piece])
                 elif piece[0] == "\n":
                     of_parts.append(after[piece])
-                    line = "" if piece[1:2].isspace() else "\n"
-                    parts += first[line], first[piece[len(line) :]], 0
+                    parts += first["\n"], first[piece[1:]], 0
                 else:
                     after.odd.append(piece)
             known.new.clear()
@@ -227,7 +230,10 @@ class Encoder:
         return parts
 
     def _whole(self, texts: list[str]) -> list[bytes | None]:
-        """Ids of texts in which blanks and line feeds stand alone, so that each is a cut; None if it turns out otherwise."""
+        """Ids of texts in which every blank and line feed is a cut; None where one turns out to be none.
+
+        Blanks have to stand alone, line feeds alone or, before a visible character, in twos.
+        """
         # a line feed in front makes the head a piece like others
         lines = pc.replace_substring(pa.array([f"\n{t}" for t in texts], pa.large_string()), "\n", " \n")
         cut = pc.split_pattern(lines, " ")
@@ -256,23 +262,21 @@ class Encoder:
         """Ids of any texts."""
         rows = []
         for text in texts:
-            head, *tail = _CUT.split(text)
-            row = [self.first[head]]
-            for piece in tail:
-                if piece[-1].isspace():
-                    row.append(self.first[piece])
-                else:
-                    row.append(self.after[piece[1:] if piece[0] == " " else piece])
-            rows.append(row)
+            head, *tail = _CUT.split(text) if _OTHER_BLANKS.search(text) else text.split(" ")
+            rest = [self.first[f" {p}"] if p[-1].isspace() else self.after[p] for p in tail]
+            rows.append([self.first[head], *rest])
         self._learn()
         return [self._ids(np.array(row))[0].tobytes() for row in rows]
 
+    def _runs(self, text: str) -> bool:
+        return "  " in text or "\r\n" in text or "\n\n" in text and any(run in text for run in self.runs)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as packed numbers of ``kind``."""
         if len(self.after) + len(self.first) > KNOWN_PIECES:
             self._forget()
         done: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if not (t[:1].isspace() or "  " in t or "\n\n" in t)]
+        whole = [i for i, t in enumerate(texts) if not (t[:1].isspace() or t.endswith("\n\n") or self._runs(t))]
         if whole:
             for i, packed in zip(whole, self._whole([texts[i] for i in whole])):
                 done[i] = packed

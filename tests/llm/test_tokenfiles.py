@@ -102,8 +102,9 @@ def test_known_pieces_grow_with_words_not_with_their_marks_and_lines(tokenizer,
 
 def test_runs_of_white_space_between_known_pieces(tokenizer):
     code = tokenfiles.Encoder(BYTE_VOCABULARY)
-    gaps = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", " \t", "\n\t", "\t\n", "\n\n\n", "\xa0", " \xa0", "\x1c\n", "\r\n", ""]
+    gaps = [" ", "\n", "  ", "\n\n", " \n", "\n ", "\t", " \t", "\n\t", "\t\n", "\n\n\n", "\xa0", " \xa0", "\x1c\n", "\r\n", "\n\n<|endoftext|>", ""]
     texts = [f"{a}one{b}two{c}" for a in gaps for b in gaps for c in gaps]
+    texts += [f"one{a}{b}{c}two" for a in gaps for b in gaps for c in gaps]
     for _ in range(2):
         for text, packed in zip(texts, code.encode(texts)):
             assert np.frombuffer(packed, code.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
