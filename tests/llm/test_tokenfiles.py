@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from scimetrics.llm import tokenfiles, wavelet
 from scimetrics.llm.queries import BYTE_VOCABULARY, END_ID, op13_tokenfiles
@@ -115,6 +115,15 @@ def test_other_tokenizers_are_refused():
         tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
 
 
+@pytest.mark.parametrize("added", [AddedToken("a#"), AddedToken("##", single_word=True), AddedToken("x y")])
+def test_added_tokens_that_a_cut_could_divide_are_refused(added, tmp_path):
+    other = Tokenizer.from_file(BYTE_VOCABULARY)
+    other.add_tokens([added])
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError):
+        tokenfiles.Encoder(str(tmp_path / "other.json"))
+
+
 def digest(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
