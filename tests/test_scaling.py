@@ -83,3 +83,39 @@ def test_narrow_tables_carry_no_other_columns(spark):
     for name, unused in plans.items():
         plan = registry.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
         assert not [column for column in unused if f"{column}#" in plan], name
+
+
+SHARED = {
+    "net_edges_full": lambda d: registry._edges(d, "full"),
+    "papers_summary": registry._papers_summary,
+    "papers_gender": registry._papers_gender,
+    "papers_auth_fields": registry._papers_auth_fields,
+    "collab_authors": registry.DATASETS["collab_authors"],
+    "collab_institutions": registry.DATASETS["collab_institutions"],
+    "field_nouns": lambda d: d.field_nouns,
+}
+
+
+@tables
+@pytest.mark.parametrize("name", SHARED)
+def test_tables_are_joined_once(spark, name):
+    made = []
+
+    class Watched(Inputs):
+        def _joined(self, *located):
+            made.append(1)
+            return super()._joined(*located)
+
+    d = Watched(spark, FOLDER)
+    SHARED[name](d)
+    # authors and affiliations with their names are read beside the written rows
+    assert len(made) == (2 if name == "papers_gender" else 1)
+
+
+@tables
+def test_written_rows_keep_the_order(spark):
+    d = Inputs(spark, FOLDER)
+    struct = d.raw.selectExpr("_seq as s", "struct(paper_id, author_id, affiliation_id, field_id) as r").collect()
+    number = d.core_raw.selectExpr("_seq as s", "struct(paper_id, author_id, affiliation_id, field_id) as r").collect()
+    assert len({r["s"] for r in number}) == len(number)
+    assert [r["r"] for r in sorted(number)] == [r["r"] for r in sorted(struct)]
